@@ -1,8 +1,14 @@
 """The registered queries of the ten operators and their SQL."""
 
-from latticelake.llm import bpe
+from latticelake.llm import bpe, decontam, langid, quality, tokencount
 
-QUERIES = {"op1_byte_bpe": bpe.op1_byte_bpe}
+QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op5_language_id": langid.op5_language_id,
+    "op7_quality": quality.op7_quality,
+    "op8_edit_counts": tokencount.op8_edit_counts,
+    "op9_decontaminate": decontam.op9_decontaminate,
+}
 
 #: Only where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontaminate": decontam.ORACLE}
