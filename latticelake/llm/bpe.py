@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from latticelake.llm.common import WHITE, blocks, column, documents, map_arrow, pieces, table, texts_of
 
 #: Entries of the tables of encoded pieces and pre-tokens in one Python worker.
-CACHE = 400_000
+CACHE = 800_000
 
 
 class MergeReplay:
@@ -38,9 +38,12 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocab: dict[int, bytes] = {i: b for b, i in ranks.items()}
-        self.first = [ranks[bytes([b])] for b in range(256)]
+        self.first = np.array([ranks[bytes([b])] for b in range(256)])
         self.wide = max(ranks.values()) + 1
         self.pairs: dict[int, int] = {}
+        first = self.first.tolist()
+        #: The rank that two bytes merge to, or -1.
+        self.start = np.array([self.merged(a * self.wide + b) for a in first for b in first])
 
     def merged(self, key: int) -> int:
         """The rank that the pair ``key`` merges to, or -1."""
@@ -48,27 +51,23 @@ class MergeReplay:
         rank = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
         return rank
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        ids: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            ids.extend(map(self.first.__getitem__, w))
-            ids.append(-1)  # a fence between words
-            ends.append(len(ids))
-        n, wide, pairs, merged = len(ids), self.wide, self.pairs, self.merged
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
+        raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        flat = self.first[raw]
+        flat[ends - 1] = -1  # a fence between words
+        rank = self.start[raw[:-1] * 256 + raw[1:]]
+        rank[(flat[:-1] < 0) | (flat[1:] < 0)] = -1
+        order = np.argsort(rank, kind="stable")
+        order = order[np.searchsorted(rank[order], 0) :]
+        own, lo = np.unique(rank[order], return_index=True)
+        index: dict[int, list[int]] = {r: part.tolist() for r, part in zip(own.tolist(), np.split(order, lo[1:]), strict=True)} if len(own) else {}
+        ids: list[int] = flat.tolist()
+        n, wide, pairs, merged, ends = len(ids), self.wide, self.pairs, self.merged, ends.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        a = -1
-        for p, b in enumerate(ids):
-            if a >= 0 and b >= 0:
-                key = a * wide + b
-                r = pairs[key] if key in pairs else merged(key)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(p - 1)
-                    else:
-                        index[r] = [p - 1]
-            a = b
         heap = list(index)
         heapify(heap)
         while heap:
@@ -88,18 +87,25 @@ class MergeReplay:
                 q = after[p] = after[q]
                 before[q] = p
                 b, o = ids[q], before[p]
-                news = []
                 if b >= 0:
-                    news.append((r * wide + b, p))
-                if o >= 0 and ids[o] >= 0:
-                    news.append((ids[o] * wide + r, o))
-                for key, at in news:
+                    key = r * wide + b
                     m = pairs[key] if key in pairs else merged(key)
                     if m >= 0:
                         if m in index:
-                            index[m].append(at)
+                            index[m].append(p)
                         else:
-                            index[m] = [at]
+                            index[m] = [p]
+                            heappush(heap, m)
+                        if m < r:
+                            wait = ends[bisect_right(ends, p)]
+                if o >= 0 and (b := ids[o]) >= 0:
+                    key = b * wide + r
+                    m = pairs[key] if key in pairs else merged(key)
+                    if m >= 0:
+                        if m in index:
+                            index[m].append(o)
+                        else:
+                            index[m] = [o]
                             heappush(heap, m)
                         if m < r:
                             wait = ends[bisect_right(ends, p)]
@@ -109,11 +115,11 @@ class MergeReplay:
                 else:
                     index[r] = later
                     heappush(heap, r)
-        out, lo = [], 0
-        for hi in ends:
-            out.append([t for t in ids[lo : hi - 1] if t >= 0])
-            lo = hi
-        return out
+        flat = np.array(ids)
+        kept = np.concatenate([[0], np.cumsum(flat >= 0)])
+        out = flat[flat >= 0].astype("<u4").tobytes()
+        cut = [0, *(4 * kept[ends]).tolist()]
+        return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 class Encoder:
@@ -144,8 +150,7 @@ class Encoder:
                 self.words[w] = self.ranks[raw].to_bytes(4, "little")
             else:
                 slow.append((w, raw))
-        for (w, _), ids in zip(slow, self.replay.encode([raw for _, raw in slow]), strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
+        self.words.update(zip((w for w, _ in slow), self.replay.encode([raw for _, raw in slow]), strict=True))
         get = self.words.__getitem__
         for known, piece, ws in parts:
             known[piece] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
