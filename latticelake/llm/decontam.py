@@ -41,7 +41,8 @@ CONTAMINATED = 2
 CACHE = 400_000
 
 #: Words as asked for, with A-Z still in them; each word is lower-cased when it is first met.
-_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").findall
+_PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORDS, _SPANS = _PATTERN.findall, _PATTERN.finditer
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FENCE = 0xD1B54A32D192ED03
@@ -169,10 +170,15 @@ def _rows(ids: pa.Array, found: list[tuple[int, int, set[str]]]) -> pa.RecordBat
     )
 
 
+def _sized(items: DataFrame) -> tuple[DataFrame, int]:
+    """Items as (item_id, text), and how many characters they take."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    return items, items.agg(F.sum(F.length("text") + F.length("item_id") + 16).alias("n")).first()["n"] or 0
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.length("text") + F.length("item_id") + 16).alias("n")).first()["n"] or 0
+    items, size = _sized(items)
     if size <= broadcast_chars:
         return _by_broadcast(docs, [tuple(r) for r in items.collect()])
     return _by_shuffle(docs, items)
@@ -225,11 +231,13 @@ def _count(df: DataFrame, key: str) -> DataFrame:
     return map_arrow(df.select(key, "text"), run, f"{key} long, n_words long")
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The way beyond the broadcast: fingerprints joined by a shuffle, then only matched pairs compared."""
-    spark = docs.sparkSession
-    keyed = materialize(documents(docs).withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
-    items = materialize(items.groupBy("item_id", "text").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "decontam-items")
+def _hits_by_shuffle(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, at, own): words hit and items with occurring windows of the documents (row, text) that have any.
+
+    The way beyond the broadcast: fingerprints joined by a shuffle, then only matched
+    pairs of texts compared.
+    """
+    items = materialize(items.distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "decontam-items")
     short = tuple(m for m in (r["n_words"] for r in _count(items, "item").select("n_words").distinct().where(f"n_words < {WINDOW}").collect()) if m)
     left = _fingerprints(keyed, "row", "doc", short).withColumnRenamed("key", "row")
     right = _fingerprints(items, "item", "item").withColumnRenamed("key", "item").distinct()
@@ -247,11 +255,16 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.record_batch([column(batch, "row"), pa.array(at, pa.list_(pa.int64())), pa.array(own, pa.string())], ["row", "at", "item_id"])
 
     found = map_arrow(texts.select("row", "item_id", "text", "doc_text"), run, "row long, at array<long>, item_id string").where("item_id is not null")
-    each = found.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("own"))
+    return found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.collect_set("item_id")).alias("own"))
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
+    keyed = materialize(documents(docs).withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
+    each = _hits_by_shuffle(keyed, items)
     n = keyed.select("row", "doc_id").join(_count(keyed, "row"), "row")
-    own = F.coalesce("own", F.array().cast("array<string>"))
+    own, at = F.coalesce("own", F.array().cast("array<string>")), F.coalesce("at", F.array().cast("array<long>"))
     return n.join(each, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(own).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.size(at).cast("long").alias("n_hit"), F.size(own).cast("long").alias("n_items"),
         F.sha2(F.array_join(own, ","), 256).alias("items_sha256"), (F.size(own) >= CONTAMINATED).alias("contaminated"),
     )
 
@@ -283,3 +296,53 @@ select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coal
        sha256(coalesce(ids, '')) items_sha256, coalesce(n_items, 0) >= 2 contaminated
 from w left join hit using (doc_id) left join own using (doc_id)
 """
+
+
+def _cut(text: str, at: set[int]) -> str:
+    """The text without the stretches of words that were hit."""
+    spans = [(m.start(), m.end()) for m in _SPANS(text)]
+    out, last = [], 0
+    for i in sorted(at):
+        if i - 1 not in at:
+            out.append(text[last : spans[i][0]])
+        last = spans[i][1]
+    return "".join([*out, text[last:]])
+
+
+def _rewritten(batch: pa.RecordBatch, found: list[tuple[set[int], int]]) -> pa.RecordBatch:
+    """The batch with hits cut out of its texts, without contaminated rows."""
+    i = batch.schema.get_field_index("text")
+    new = [_cut(t, at) if at else t for t, (at, _) in zip(batch.column(i).to_pylist(), found, strict=True)]
+    stay = pa.array([n < CONTAMINATED for _, n in found], pa.bool_())
+    return batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type)).filter(stay)
+
+
+def clean(docs: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The rows of ``docs`` without benchmark passages: contaminated documents go, other hits are cut out.
+
+    A cut runs from the first word hit to the last of a row of words hit; n_chars follows
+    where there is such a column. All other columns stay as they are.
+    """
+    items, size = _sized(items)
+    if size <= broadcast_chars:
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probe, memo = Probe(shared.value), Memo(word_hash, CACHE)
+            for batch in batches:
+                texts = texts_of(batch)
+                found = [(at, len(own)) for lo, hi in blocks(texts) for _, at, own in hits(texts[lo:hi], probe, memo)]
+                yield _rewritten(batch, found)
+
+        out = map_arrow(docs, run, docs.schema)
+    else:
+        keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
+        each = _hits_by_shuffle(keyed.select(F.col("__row").alias("row"), "text"), items).select(F.col("row").alias("__row"), F.col("at").alias("__at"), F.size("own").alias("__n"))
+
+        def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(set(at or ()), n or 0) for at, n in zip(column(batch, "__at").to_pylist(), column(batch, "__n").to_pylist(), strict=True)]
+                yield _rewritten(batch, found).select(docs.columns)
+
+        out = map_arrow(keyed.join(each, "__row", "left").drop("__row"), rewrite, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

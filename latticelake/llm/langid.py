@@ -170,3 +170,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))
     return out.select("doc_id", F.coalesce(fold(out, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and needs fewer than REJECT_RATE phrases for each of them; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = parser(shared.value)
+        for batch in batches:
+            found = [p.predict(t) for t in texts_of(batch)]
+            yield batch.filter(pa.array([lang != "und" and rate < REJECT_RATE for lang, _, rate in found], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
