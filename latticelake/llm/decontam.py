@@ -339,10 +339,12 @@ def clean(docs: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CH
         keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
         each = _hits_by_shuffle(keyed.select(F.col("__row").alias("row"), "text"), items).select(F.col("row").alias("__row"), F.col("at").alias("__at"), F.size("own").alias("__n"))
 
+        names = docs.columns
+
         def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [(set(at or ()), n or 0) for at, n in zip(column(batch, "__at").to_pylist(), column(batch, "__n").to_pylist(), strict=True)]
-                yield _rewritten(batch, found).select(docs.columns)
+                yield _rewritten(batch, found).select(names)
 
         out = map_arrow(keyed.join(each, "__row", "left").drop("__row"), rewrite, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -79,10 +79,10 @@ def _lines_sql(text: str) -> str:
 ORACLE = f"""
 with listed(licence, body) as (values {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in LICENCES)}),
 known as (select sha256(array_to_string({_lines_sql("body")}, ' ')) digest, min(licence) licence from listed group by 1),
-d as (select doc_id, {_lines_sql("text")} lines, row_number() over () at from documents),
-own as (select at, k.licence from (select at, unnest(lines) line from d) x join known k on k.digest = sha256(line)),
-notes as (select at, count(*) n, (select string_agg(l, ',' order by l) from (select distinct unnest(list(o.licence)) l)) names from own o group by at),
-w as (select doc_id, at, sha256(array_to_string(lines, ' ')) digest from d)
+d as (select doc_id, {_lines_sql("text")} lines, row_number() over () as r from documents),
+own as (select r, k.licence from (select r, unnest(lines) line from d) x join known k on k.digest = sha256(line)),
+notes as (select o.r, count(*) n, (select string_agg(l, ',' order by l) from (select distinct unnest(list(o.licence)) l)) names from own o group by o.r),
+w as (select doc_id, r, sha256(array_to_string(lines, ' ')) digest from d)
 select w.doc_id, w.digest, k.licence, coalesce(n, 0)::bigint n_notices, coalesce(names, '') notices
-from w left join known k on k.digest = w.digest left join notes on notes.at = w.at
+from w left join known k on k.digest = w.digest left join notes on notes.r = w.r
 """

@@ -13,9 +13,10 @@ SIMILARITY aligned in order makes a link. Classes are the components of the link
    in blocks, then alignments between pairs that are not in one class yet. Only nodes of
    such groups have their text read again; their keys are broadcast when they were counted
    to be at most BROADCAST_KEYS, and joined by a shuffle otherwise.
-4. A larger group is settled in rounds of distributed joins: in each bucket a leader (first
-   the least key, then the one with most links so far) is compared to the members outside
-   its class, until a round finds no link. No task holds such a group.
+4. A larger group is settled by distributed joins: in a few rounds each bucket's leader is
+   compared to the members outside its class; what is then outside the group's largest
+   class is compared to all others that agree, in blocks. No task holds such a group, and
+   the links lost are none: both ways give the same classes.
 
 Result: one row for each document with its class id (the least doc_id of the class), the
 links of its text to different texts that were aligned (at least one for every text that
@@ -45,6 +46,8 @@ from latticelake.session import materialize
 AGREE = 3
 #: Nodes of a candidate group that one task settles; larger groups are settled in rounds.
 GROUP_NODES = 16_000
+#: Rounds of comparisons with bucket leaders in larger groups; nodes of a block of queries behind them.
+ROUNDS, QUERY_NODES = 3, 2_000
 #: Keys that may be broadcast (16 bytes each).
 BROADCAST_KEYS = 1_000_000
 CACHE = 400_000
@@ -182,34 +185,79 @@ def _aligned(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
-def _settle_in_rounds(seqs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """(key, root, links) of groups beyond one task; members are (bucket, key) rows.
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, root, links) of every node that has a link."""
+    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
+    return materialize(components(links).join(degree, F.col("node") == F.col("a"), "left").select("node", "root", "links"), "labels")
 
-    Each round is linear in the members: one comparison for each of them at most.
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with their class so far and the links of their node."""
+    root, links = F.coalesce("root", "key").alias("c"), F.coalesce("links", F.lit(0).cast("long")).alias("links")
+    return rows.join(labels, F.col("key") == F.col("node"), "left").select(*rows.columns, root, links)
+
+
+def _strays(classed: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches agree enough, of nodes outside their group's largest class with nodes of other classes.
+
+    Every pair across classes has such a node. They are taken as a query set against all
+    nodes of the large groups, in blocks of QUERY_NODES; only agreeing pairs are emitted.
+    """
+    main = classed.groupBy("grp", "c").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    strays = materialize(classed.join(main, "grp").where("c <> main").select("grp", "key", "c", "sketches"), "strays")
+    blocks = -(-strays.count() // QUERY_NODES)
+    out = None
+    for i in range(blocks):
+        rows = strays.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()
+        shared = classed.sparkSession.sparkContext.broadcast(
+            ([r["grp"] for r in rows], [bytes(r["key"]) for r in rows], [bytes(r["c"]) for r in rows], np.array([r["sketches"] for r in rows], np.int64).reshape(-1, SKETCHES))
+        )
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            grps, keys, roots, marks = shared.value
+            for batch in batches:
+                a, b = [], []
+                for grp, key, c, own in zip(*(column(batch, n).to_pylist() for n in ("grp", "key", "c", "sketches")), strict=True):
+                    for j in np.flatnonzero((marks == np.array(own, np.int64)).sum(1) >= AGREE).tolist():
+                        if grps[j] == grp and roots[j] != c:
+                            a.append(max(key, keys[j]))
+                            b.append(min(key, keys[j]))
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        found = materialize(map_arrow(classed.select("grp", "key", "c", "sketches"), run, "a binary, b binary"), "stray-pairs")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _settle_in_rounds(seqs: DataFrame, sketched: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(key, root, links) of groups beyond one task, from (key, kmers), (grp, key, sketches) and (bucket, key).
+
+    In ROUNDS rounds each bucket's leader - first the least key, then the one with most
+    links - is compared to the members outside its class: a comparison for each member at
+    most. What is then outside a group's largest class is compared exactly (``_strays``).
     """
-    links, tested, led, labels, n = None, None, None, None, 0
     members = materialize(members, "members")
-    while True:
-        own = members.join(labels, members.key == labels.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("c"), F.coalesce("links", F.lit(0).cast("long")).alias("links")) if labels is not None else members.select("bucket", "key", F.col("key").alias("c"), F.lit(0).cast("long").alias("links"))
+    labels = members.sparkSession.createDataFrame([], "node binary, root binary, links long")
+    links = tested = led = None
+    for _ in range(ROUNDS):
+        own = _labelled(members, labels)
         may = own if led is None else own.join(led, ["bucket", "key"], "left_anti")
-        rank = F.struct("links", "key") if n else F.struct((-F.col("links")).alias("links"), F.hash("key").alias("h"), "key")
-        lead = may.groupBy("bucket").agg(F.max_by(F.struct("key", "c"), rank).alias("lead"))
+        lead = materialize(may.groupBy("bucket").agg(F.max_by(F.struct("key", "c"), F.struct("links", F.hash("key"), "key")).alias("lead")), "lead")
         pairs = own.join(lead, "bucket").where("c <> lead.c").select(F.greatest("key", F.col("lead.key")).alias("a"), F.least("key", F.col("lead.key")).alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         new = materialize(_aligned(pairs, seqs, similarity), "links")
-        n += 1
-        tested = pairs if tested is None else materialize(tested.union(pairs), "tested")
+        tested = pairs if tested is None else tested.union(pairs)
         used = lead.select("bucket", F.col("lead.key").alias("key"))
-        led = materialize(used if led is None else led.union(used), "led")
-        links = new if links is None else materialize(links.union(new), "links")
-        if n > 2 and new.isEmpty():
-            break
-        degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
-        labels = materialize(components(links).join(degree, F.col("node") == F.col("a"), "left").select("node", "root", "links"), "labels")
-    keys = seqs.select("key")
-    return keys.join(labels, keys.key == labels.node, "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        led = used if led is None else led.union(used)
+        links = new if links is None else links.union(new)
+        labels = _labels(links)
+    pairs = _strays(materialize(_labelled(sketched, labels), "classed"))
+    if pairs is not None:
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        labels = _labels(links.union(materialize(_aligned(pairs, seqs, similarity), "links")))
+    return _labelled(seqs.select("key"), labels).select("key", F.col("c").alias("root"), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, group_nodes: int = GROUP_NODES) -> DataFrame:
@@ -229,7 +277,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, group_nodes
     settled = _settle_groups(found.join(large, "grp", "left_anti"), similarity)
     if not large.isEmpty():
         big = materialize(found.join(large, "grp", "left_semi").select("key", "kmers").groupBy("key").agg(F.any_value("kmers").alias("kmers")), "large")
-        settled = settled.union(_settle_in_rounds(big, members.join(big, "key", "left_semi").select("bucket", "key"), similarity))
+        marks = group.join(large, "grp", "left_semi").join(nodes.select("key", "sketches"), "key").select("grp", "key", "sketches")
+        settled = settled.union(_settle_in_rounds(big, marks, members.join(big, "key", "left_semi").select("bucket", "key"), similarity))
     settled = materialize(settled, "settled")
     label = nodes.select("key", "rep", "n").join(settled, "key", "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     classes = label.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))

@@ -279,7 +279,7 @@ def bench_docs(spark):
         "x One, two; three four five six seven eight nine ten eleven", "a short item here", "one two three four five six seven", None, "", "short", "short item short item",
         "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen",
     ]
-    return spark.createDataFrame([(i % 8, t, t and len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").withColumn("row", F.lit(1)).withColumn("item_id", F.lit("z"))
+    return spark.createDataFrame([(i % 8, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").withColumn("row", F.lit(1)).withColumn("item_id", F.lit("z"))
 
 
 def brute_hits(df, items):
