@@ -92,7 +92,7 @@ def _lists(parts: list, kind: pa.DataType) -> pa.Array:
         flat = pa.array([x for p in full for x in p], kind)
     else:
         flat = pa.array(np.concatenate(full), kind) if full else pa.array([], kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([p is None for p in parts]))
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([p is None for p in parts], pa.bool_()))
 
 
 _SLOTS = (("R", "r", pa.float64()), ("I", "i", pa.int64()), ("L", "b", pa.bool_()), ("S", "s", pa.string()))
