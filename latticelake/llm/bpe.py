@@ -19,17 +19,16 @@ import base64
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from latticelake.llm.common import WHITE, blocks, column, documents, map_arrow, pieces, table, texts_of
+from latticelake.llm.common import WHITE, blocks, column, documents, held, map_arrow, pieces, table, texts_of, trim
 
 #: Entries of the tables of encoded pieces and pre-tokens in one Python worker.
-CACHE = 800_000
+CACHE = 300_000
 
 
 class MergeReplay:
@@ -139,10 +138,10 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _learn(self, heads: set[str], rest: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
         parts = [(self.heads, h, self.split(h)) for h in heads] + [(self.rest, p, self.split(" " + p)) for p in rest]
-        new = list({w for _, _, ws in parts for w in ws if w not in self.words})
+        met = {w for _, _, ws in parts for w in ws}
+        trim(self.words, met, CACHE)
+        new = [w for w in met if w not in self.words]
         slow = []
         for w in new:
             raw = w.encode()
@@ -158,13 +157,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The id stream of each text of one block."""
         cut = [pieces(t) for t in texts]
-        for known in (self.heads, self.rest):
-            if len(known) > CACHE:
-                known.clear()
         heads = {c[0] for c in cut}
         rest: set[str] = set()
         for c in cut:
             rest.update(c[1:])
+        trim(self.heads, heads, CACHE // 8)
+        trim(self.rest, rest, CACHE)
         self._learn({h for h in heads if h not in self.heads}, {p for p in rest if p not in self.rest})
         get = self.rest.__getitem__
         for c in cut:
@@ -174,9 +172,8 @@ class Encoder:
         return b"".join(map(self.replay.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return held(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def _default(path: str | None, pattern: str | None) -> tuple[str, str]:

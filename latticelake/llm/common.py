@@ -70,6 +70,29 @@ class Memo(dict):
         return value
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable):
+    """What ``make`` gives, kept in this Python worker until another key is asked for.
+
+    Workers outlive tasks and stages; one model or table at a time keeps their memory
+    bounded however many operators run one after another.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def trim(known: dict, needed: Iterable, limit: int) -> None:
+    """Beyond ``limit`` entries keep only those that the present block needs: rare words go, common ones stay."""
+    if len(known) > limit:
+        kept = {k: known[k] for k in needed if k in known}
+        known.clear()
+        known.update(kept)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped and batches bounded in rows."""
     ship(df.sparkSession)

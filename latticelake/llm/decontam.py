@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticelake.llm.common import Memo, blocks, column, documents, map_arrow, table, texts_of
+from latticelake.llm.common import Memo, blocks, column, documents, held, map_arrow, table, texts_of
 from latticelake.session import materialize
 
 #: Words of a window, and of the k-grams that are winnowed: spans of WINDOW words are found for certain.
@@ -38,7 +38,7 @@ WINDOW, K = 8, 5
 BROADCAST_CHARS = 1_000_000
 #: Items with occurring windows from which a document counts as contaminated.
 CONTAMINATED = 2
-CACHE = 400_000
+CACHE = 200_000
 
 #: Words as asked for, with A-Z still in them; each word is lower-cased when it is first met.
 _PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -56,6 +56,10 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(lower(word).encode())
 
 
+def _memo() -> Memo:
+    return held("decontam", lambda: Memo(word_hash, CACHE))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-grams of a sequence of word hashes."""
     n = len(h) - k + 1
@@ -188,7 +192,7 @@ def _by_broadcast(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, memo = Probe(shared.value), Memo(word_hash, CACHE)
+        probe, memo = Probe(shared.value), _memo()
         for batch in batches:
             texts = texts_of(batch)
             for lo, hi in blocks(texts):
@@ -202,7 +206,7 @@ def _fingerprints(df: DataFrame, key: str, kind: str, short: tuple[int, ...] = (
     """(key, fp): distinct fingerprints of each text; of documents also all k-grams of the lengths ``short``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_hash, CACHE)
+        memo = _memo()
         for batch in batches:
             keys = column(batch, "key")
             rows, fps = [], []
@@ -245,7 +249,7 @@ def _hits_by_shuffle(keyed: DataFrame, items: DataFrame) -> DataFrame:
     texts = pairs.join(items, "item").join(keyed.select("row", F.col("text").alias("doc_text")), "row")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_hash, CACHE)
+        memo = _memo()
         for batch in batches:
             at, own = [], []
             for item, text, doc in zip(column(batch, "item_id").to_pylist(), texts_of(batch), texts_of(batch, "doc_text"), strict=True):
@@ -328,7 +332,7 @@ def clean(docs: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CH
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe, memo = Probe(shared.value), Memo(word_hash, CACHE)
+            probe, memo = Probe(shared.value), _memo()
             for batch in batches:
                 texts = texts_of(batch)
                 found = [(at, len(own)) for lo, hi in blocks(texts) for _, at, own in hits(texts[lo:hi], probe, memo)]

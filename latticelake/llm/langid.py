@@ -21,13 +21,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticelake.llm.common import Memo, column, map_arrow, table, texts_of
+from latticelake.llm.common import Memo, column, held, map_arrow, table, texts_of
 
 DOCS_PER_LANG, DOC_CHARS, LANG_CHARS = 40, 4_000, 40_000
 #: Folds of documents by crc32 of their id; the fold HELD_OUT is never learned from.
@@ -36,7 +35,7 @@ FOLDS, HELD_OUT = 4, 2
 SHARP = 20.0
 #: Phrases per letter from which a text is like none of the languages.
 REJECT_RATE = 0.8
-CACHE = 300_000
+CACHE = 200_000
 _LANE = 40  # bits of one language's count in a packed sum
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -121,9 +120,8 @@ class Parser:
         return self.langs[best], 1 / sum(math.exp(SHARP * (rates[best] - r)) for r in rates), rates[best]
 
 
-@lru_cache(maxsize=2)
 def parser(model: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(model)
+    return held(("langid", model), lambda: Parser(model))
 
 
 def fold(docs: DataFrame, folds: int):

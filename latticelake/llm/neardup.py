@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticelake.llm.common import Memo, column, map_arrow, table, texts_of
+from latticelake.llm.common import Memo, column, held, map_arrow, table, texts_of
 from latticelake.llm.orderhash import SIMILARITY, SKETCHES, alignment, kmers, sketches, word_hash
 from latticelake.session import materialize
 
@@ -50,7 +50,7 @@ GROUP_NODES = 16_000
 ROUNDS, QUERY_NODES = 3, 2_000
 #: Keys that may be broadcast (16 bytes each).
 BROADCAST_KEYS = 1_000_000
-CACHE = 400_000
+CACHE = 200_000
 
 
 def node_key(g: np.ndarray) -> bytes:
@@ -62,7 +62,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_hash, CACHE)
+        memo = held("neardup", lambda: Memo(word_hash, CACHE))
         for batch in batches:
             g = [kmers(t, memo) for t in texts_of(batch)]
             yield pa.record_batch(
@@ -137,7 +137,7 @@ def _read_again(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     kind = nodes.schema["grp"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_hash, CACHE)
+        memo = held("neardup", lambda: Memo(word_hash, CACHE))
         for batch in batches:
             g = [kmers(t, memo) for t in texts_of(batch)]
             # documents that share a doc_id differ in their key

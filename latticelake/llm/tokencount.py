@@ -19,13 +19,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticelake.llm.common import WHITE, Memo, column, map_arrow, pieces, table, texts_of
+from latticelake.llm.common import WHITE, Memo, column, held, map_arrow, pieces, table, texts_of
 
 #: Pieces of a leaf when a tree is built.
 LEAF = 16
@@ -33,15 +32,18 @@ CACHE = 400_000
 _BEGINS = re.compile(f" [^{WHITE}]").match
 
 
-@lru_cache(maxsize=2)
 def counter(path: str, pattern: str) -> tuple[Memo, Memo]:
     """Token counts of first pieces, and of pieces that had a space before them."""
+    return held(("tokencount", path, pattern), lambda: _counter(path, pattern))
+
+
+def _counter(path: str, pattern: str) -> tuple[Memo, Memo]:
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return Memo(lambda p: len(encode(p)), CACHE), Memo(lambda p: len(encode(" " + p)), CACHE)
+    return Memo(lambda p: len(encode(p)), CACHE // 8), Memo(lambda p: len(encode(" " + p)), CACHE)
 
 
 class TokenTree:
