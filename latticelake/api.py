@@ -90,6 +90,48 @@ def frames_at(found: DataFrame) -> DataFrame:
     return found.select("source", "offset", "line", "frame_index").repartitionByRange("source", "offset").mapInArrow(run, FRAMES)
 
 
+def frames_in(content: DataFrame, compression: str = "infer", member: str | None = None) -> DataFrame:
+    """The frames of files that are already rows (path, content), one file in memory at a time.
+
+    ``spark.read.format("binaryFile").load(...)`` gives such rows from any store that Spark
+    reads; faults become rows with an ``error``, as in permissive reading.
+    """
+    import io
+
+    from latticelake.functions import grammar
+    from latticelake.session import ship
+    from latticelake.sources.index import walk
+    from latticelake.sources.xyzframes import BATCH_FRAMES, frames_batch
+    from latticelake.types import FRAMES, RawFrame
+
+    ship(content.sparkSession)
+
+    def run(batches: Iterable) -> Iterator:
+        for b in batches:
+            for source, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held: list = []
+                at, fault = (0, 0, 1), None
+                try:
+                    with codecs.decoded(io.BytesIO(data), codecs.codec_of_bytes(source, data[:4], compression), member) as f:
+                        for s in walk(f):
+                            at = (s.index, s.offset, s.line)
+                            held.append(grammar.frame(s.head, s.note, s.block, s.index, s.offset, s.line))
+                            at = (s.index + 1, s.offset, s.line + s.n_atoms + 2)
+                            if len(held) >= BATCH_FRAMES:
+                                yield frames_batch(held, source, [None] * len(held))
+                                held = []
+                except ParseError as e:
+                    fault = (e.line, e.column, str(e), False)
+                except OSError as e:
+                    fault = (at[2], None, str(e), True)
+                if held:
+                    yield frames_batch(held, source, [None] * len(held))
+                if fault:
+                    yield frames_batch([RawFrame(*at, 0)], source, [fault])
+
+    return content.select("path", "content").mapInArrow(run, FRAMES)
+
+
 def _value(kind: str, shape: tuple[int, ...], values: list) -> Any:
     if not shape:
         return values[0]
@@ -333,4 +375,4 @@ def write(path: str, obj: DataFrame | Frame | Iterable[Frame], *, append: bool =
 
 
 Writer = sink.Writer
-__all__ = ["BatchError", "LatticeError", "ParseError", "SchemaError", "Writer", "atoms", "frames", "frames_at", "index", "infer_schema", "iread", "iread_batch", "plan_batches", "read", "read_batch", "scan", "write"]
+__all__ = ["BatchError", "LatticeError", "ParseError", "SchemaError", "Writer", "atoms", "frames", "frames_at", "frames_in", "index", "infer_schema", "iread", "iread_batch", "plan_batches", "read", "read_batch", "scan", "write"]

@@ -118,6 +118,17 @@ def state(frames: DataFrame) -> DataFrame:
     )
 
 
+def batched_states(frames: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row for each planned batch: states one behind the other, with the system of each atom."""
+    own = state(frames).join(plan.select("frame_index", "batch_id", "pos_in_batch"), "frame_index")
+    each = own.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos_in_batch", "frame_index", "n_atoms", "atomic_numbers", "positions", "masses", "cell", "pbc"))).alias("f"))
+    get = lambda name: F.transform("f", lambda v: v[name])
+    return each.select(
+        "batch_id", get("frame_index").alias("frame_indices"), *(F.flatten(get(c)).alias(c) for c in ("atomic_numbers", "positions", "masses")), get("cell").alias("cell"),
+        F.flatten(F.transform("f", lambda v, i: F.array_repeat(i, v["n_atoms"].cast("int")))).alias("system_idx"), F.col("f")[0]["pbc"].alias("pbc"),
+    )
+
+
 def frames_of(structures: DataFrame) -> DataFrame:
     """Structures (species, positions, cell, pbc) back as frames of the canonical schema, for writing."""
     def tagged(name: str, kind: str, extent: Column, values: Column, names: tuple[str, str]) -> Column:

@@ -80,24 +80,38 @@ def open_decoded(path: str, compression: str = "infer", member: str | None = Non
     codec = codec_of(path, compression)
     if member is not None and codec not in ("zip", "tar", "tar.gz"):
         raise ValueError("member= given for a non-archive source")
-    with open_raw(path) as raw:
-        if codec == "none":
-            yield raw
-        elif codec == "gzip":
-            with gzip.open(raw) as f:
-                yield f
-        elif codec == "zstd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as f:
-                yield io.BufferedReader(f)
-        elif codec == "zip":
-            with zipfile.ZipFile(raw) as z, z.open(pick_member([i.filename for i in z.infolist() if not i.is_dir()], member)) as f:
-                yield f
-        else:
-            with tarfile.open(fileobj=raw, mode="r:*") as t:
-                names = [m.name for m in t.getmembers() if m.isfile()]
-                yield t.extractfile(pick_member(names, member))
+    with open_raw(path) as raw, decoded(raw, codec, member) as f:
+        yield f
+
+
+def codec_of_bytes(name: str, head: bytes, compression: str = "infer") -> str:
+    """As ``codec_of``, for content that is already here."""
+    if compression != "infer":
+        return compression
+    by_name = next((codec for suffix, codec in _SUFFIXES if name.lower().endswith(suffix)), None)
+    return by_name or next((codec for magic, codec in _MAGIC if head.startswith(magic)), "none")
+
+
+@contextmanager
+def decoded(raw: io.BufferedIOBase, codec: str, member: str | None = None) -> Iterator[io.BufferedIOBase]:
+    """A binary file through its codec."""
+    if codec == "none":
+        yield raw
+    elif codec == "gzip":
+        with gzip.open(raw) as f:
+            yield f
+    elif codec == "zstd":
+        import zstandard
+
+        with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as f:
+            yield io.BufferedReader(f)
+    elif codec == "zip":
+        with zipfile.ZipFile(raw) as z, z.open(pick_member([i.filename for i in z.infolist() if not i.is_dir()], member)) as f:
+            yield f
+    else:
+        with tarfile.open(fileobj=raw, mode="r:*") as t:
+            names = [m.name for m in t.getmembers() if m.isfile()]
+            yield t.extractfile(pick_member(names, member))
 
 
 def splittable(path: str, compression: str = "infer") -> bool:

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from latticelake.errors import ParseError
 from latticelake.functions import grammar
 from latticelake.sources import codecs
-from latticelake.sources.index import walk
+from latticelake.sources.index import Lines, walk
 from latticelake.types import FRAMES, INDEX, RawFrame
 
 SPLIT_BYTES = 128 << 20
@@ -42,6 +42,10 @@ class Range(InputPartition):
     line: int = 1
     index: int = 0
     limit: int | None = None
+    #: Of one large frame only some rows: the first, how many, and the frame's comment line.
+    rows: tuple[int, int, bytes] | None = None
+    #: Frames at the start that another range reads.
+    skip: int = 0
 
 
 @dataclass
@@ -120,8 +124,8 @@ def frames_batch(frames: list[RawFrame], source: str, errors: list[tuple | None]
     )
 
 
-def _atoms_batch(frames: list[RawFrame], source: str) -> pa.RecordBatch:
-    """One row for each atom, column and component."""
+def _atoms_batch(frames: list[RawFrame], source: str, first: int = 0) -> pa.RecordBatch:
+    """One row for each atom, column and component; ``first`` is the number of the first atom."""
     cols: dict[str, list] = {n: [] for n in ("frame", "atom", "name", "kind", "component")}
     slots: dict[str, list] = {k: [] for k, _, _ in _SLOTS}
     total = 0
@@ -129,7 +133,7 @@ def _atoms_batch(frames: list[RawFrame], source: str) -> pa.RecordBatch:
         for name, kind, width, values in f.columns:
             n = f.n_atoms * width
             cols["frame"].append(np.full(n, f.index))
-            cols["atom"].append(np.repeat(np.arange(f.n_atoms), width))
+            cols["atom"].append(np.repeat(np.arange(first, first + f.n_atoms), width))
             cols["component"].append(np.tile(np.arange(width, dtype=np.int32), f.n_atoms))
             cols["name"] += [name] * n
             cols["kind"] += [kind] * n
@@ -163,27 +167,61 @@ class FramesReader(DataSourceReader):
             elif codecs.is_remote(path) or os.path.getsize(path) <= self.split or not codecs.splittable(path, self.compression):
                 out.append(Range(path, self.member))
             else:
-                out += self._ranges(path)
+                out += self._rows(path) if self.mode == "atoms" else self._ranges(path)
         return out
 
+    def _rows(self, path: str) -> Iterator[Range]:
+        """As ``_ranges``, with a frame beyond ``splitBytes`` cut into ranges of its rows."""
+        for part in self._ranges(path):
+            end = None
+            with open(path, "rb") as f:
+                f.seek(part.offset)
+                lines = Lines(f, part.offset)
+                n = grammar.count_at(lines.line() or b"", part.index, part.line) if part.limit == 1 else 0
+                note = lines.line() if n else None
+                if n and note is not None and part.limit == 1:
+                    at, lo = lines.at, 0
+                    lines.many(n, False)
+                    end = lines.at
+                    step = max(1, n * self.split // max(1, end - at))
+                    if step < n:
+                        f.seek(at)
+                        lines = Lines(f, at)
+                        while lo < n:
+                            yield Range(path, None, lines.at, part.line + 2 + lo, part.index, 1, (lo, min(step, n - lo), note))
+                            lines.many(min(step, n - lo), False)
+                            lo += step
+                        continue
+            yield part
+
     def _ranges(self, path: str) -> Iterator[Range]:
         """Ranges of whole frames of about ``splitBytes``; what fails to scan is left to the last task, which reports it in order."""
-        start, n = None, 0
+        start, n, done, failed = None, 0, None, False
         try:
             with open(path, "rb") as f:
                 for s in walk(f, last=self.wanted.high, blocks=False):
-                    if start is not None and s.offset - start.offset >= self.split:
+                    alone = self.mode == "atoms" and s.n_atoms * 8 >= self.split  # a large frame gets a range of its own
+                    if start is not None and (alone or s.offset - start.offset >= self.split):
                         yield Range(path, None, start.offset, start.line, start.index, n)
                         start, n = None, 0
+                    if alone:
+                        yield Range(path, None, s.offset, s.line, s.index, 1)
+                        done = s
+                        continue
                     start = start or s
                     n += 1
         except (ParseError, OSError):
-            pass
-        if start is not None or not n:
+            failed = True
+        if start is None and failed and done is not None:
+            yield Range(path, None, done.offset, done.line, done.index, skip=1)
+        elif start is not None or done is None:
             yield Range(path, None, *((start.offset, start.line, start.index) if start else ()))
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         source = part.path if part.member is None else f"{part.path}!{part.member}"
+        if part.rows is not None:
+            yield self._part_of_frame(part, source)
+            return
         scan = self.mode == "scan"
         held: list = []
         atoms = 0
@@ -193,7 +231,8 @@ class FramesReader(DataSourceReader):
             with codecs.open_decoded(part.path, self.compression, part.member) as f:
                 if part.offset:
                     f.seek(part.offset)
-                for s in walk(f, self.wanted, self.wanted.high, notes=self.volume or not scan, blocks=not scan, index=part.index, offset=part.offset, line=part.line, limit=part.limit):
+                want = self.wanted if not part.skip else lambda i: i >= part.index + part.skip and self.wanted(i)
+                for s in walk(f, want, self.wanted.high, notes=self.volume or not scan, blocks=not scan, index=part.index, offset=part.offset, line=part.line, limit=part.limit):
                     at = (s.index, s.offset, s.line)
                     held.append(s if scan else self._parsed(s))
                     at = (s.index + 1, s.offset, s.line + s.n_atoms + 2)
@@ -214,6 +253,26 @@ class FramesReader(DataSourceReader):
         if fault and self.mode == "frames":
             yield frames_batch([RawFrame(*at, 0)], source, [fault])
 
+    def _part_of_frame(self, part: Range, source: str) -> pa.RecordBatch:
+        lo, n, note = part.rows
+        if not self.wanted(part.index):
+            return _atoms_batch([], source)
+        with open(part.path, "rb") as f:
+            f.seek(part.offset)
+            block = Lines(f, part.offset).many(n, True)
+        try:
+            columns, _ = grammar.comment(note.decode().rstrip("\r"))
+            have = block.count(b"\n") + (1 if block and not block.endswith(b"\n") else 0)
+            parsed = grammar.rows(block, min(n, have), columns, part.line)
+            if have < n:
+                raise ParseError("missing atom line", line=part.line + have)
+        except ParseError as e:
+            if not self.permissive:
+                raise ParseError(e.bare, part.index, e.line, e.column) from None
+            return _atoms_batch([], source)
+        kept = [c for c in parsed if self.columns is None or c[0] in self.columns]
+        return _atoms_batch([RawFrame(part.index, part.offset, part.line, n, kept)], source, lo)
+
     def _parsed(self, s) -> RawFrame:
         out = grammar.frame(s.head, s.note, s.block, s.index, s.offset, s.line)
         if self.columns is not None:

@@ -98,6 +98,13 @@ def test_splitting_changes_nothing(files, spark):
     index = api.index(files / "many.xyz")
     again = api.frames_at(index.where("frame_index % 7 = 0"))
     assert sorted(map(str, again.collect())) == sorted(map(str, whole.where("frame_index % 7 = 0").collect()))
+    (files / "large.xyz").write_text(VARYING + "4000\nProperties=species:S:1:pos:R:3:id:I:1\n" + "".join(f"C {i}.5 0 -1e3 {i}\n" for i in range(4000)))
+    one, cut = api.atoms(files / "large.xyz"), api.atoms(files / "large.xyz", splitBytes=8000)
+    assert cut.rdd.getNumPartitions() > 6 and sorted(map(str, one.collect())) == sorted(map(str, cut.collect()))
+    with open(files / "large.xyz", "a") as f:
+        f.write("x\n")
+    with pytest.raises(Exception, match="expected a non-negative integer"):
+        api.atoms(files / "large.xyz", splitBytes=8000).count()
     atoms = api.atoms(files / "many.xyz", columns="pos")
     assert atoms.count() == 3 * sum(1 + i % 5 for i in range(500))
 
@@ -152,6 +159,16 @@ def test_codecs(files, tmp_path, spark):
         api.read(files / "varying.xyz", member="a")
 
 
+def test_frames_from_content_rows(files, tmp_path, spark):
+    (tmp_path / "a.xyz").write_text(VARYING)
+    (tmp_path / "b.xyz.gz").write_bytes(gzip.compress(MIXED.encode()))
+    (tmp_path / "c.xyz").write_text(VARYING.replace("H 0 0 1", "H 0 x 1"))
+    got = api.frames_in(spark.read.format("binaryFile").load(str(tmp_path)))
+    rows = got.orderBy("source", "frame_index").collect()
+    assert [(r["frame_index"], r["n_atoms"], r["error"] is None) for r in rows] == [(0, 3, True), (1, 1, True), (2, 2, True), (0, 2, True), (1, 2, True), (0, 0, False)]
+    assert rows[-1]["error"]["line"] == 4 and rows[-1]["error"]["column"] == 5
+
+
 def test_infer(files):
     s = api.infer_schema(files / "drift.xyz")
     assert (s.n_frames, s.total_atoms, s.min_atoms, s.max_atoms, s.is_consistent) == (2, 3, 1, 2, False)
@@ -288,6 +305,9 @@ def test_targets(files, spark):
     back = targets.frames_of(api.frames(files / "varying.xyz").select("source", "frame_index", targets.entry("columns", "species")["s"].alias("species"), targets.wide(targets.entry("columns", "pos"), 3).alias("positions"), targets.cell().alias("cell"), targets.pbc().alias("pbc")))
     api.write(files / "back.xyz", back)
     assert api.read(files / "back.xyz", 0).columns["species"] == ["O", "H", "H"]
+    plan = batch.fixed_plan(api.index(files / "varying.xyz"), 2)
+    b = targets.batched_states(api.frames(files / "varying.xyz"), plan).orderBy("batch_id").collect()
+    assert b[0]["system_idx"] == [0, 0, 0, 1] and b[0]["atomic_numbers"] == [8, 1, 1, 1] and len(b[0]["cell"]) == 2 and b[1]["frame_indices"] == [2]
     with pytest.raises(ValueError, match="unknown species: Qq"):
         (files / "q.xyz").write_text("1\nProperties=species:S:1:pos:R:3\nQq 0 0 0\n")
         targets.check_species(api.frames(files / "q.xyz"))
