@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from latticelake.llm.common import WHITE, blocks, column, documents, held, map_arrow, pieces, table, texts_of, trim
+from latticelake.llm.common import PieceStreams, blocks, column, documents, held, map_arrow, table, texts_of
 
 #: Entries of the tables of encoded pieces and pre-tokens in one Python worker.
-CACHE = 300_000
+CACHE = 600_000
 
 
 class MergeReplay:
@@ -50,10 +50,10 @@ class MergeReplay:
         rank = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
         return rank
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): the ids of all words, and where each word's lie."""
         if not words:
-            return []
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
         ends = np.cumsum([len(w) + 1 for w in words])
         flat = self.first[raw]
@@ -116,57 +116,37 @@ class MergeReplay:
                     heappush(heap, r)
         flat = np.array(ids)
         kept = np.concatenate([[0], np.cumsum(flat >= 0)])
-        out = flat[flat >= 0].astype("<u4").tobytes()
-        cut = [0, *(4 * kept[ends]).tolist()]
-        return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        stop = kept[ends]
+        start = np.concatenate([[0], stop[:-1]])
+        return flat[flat >= 0], start, stop - start
 
 
-class Encoder:
+class Encoder(PieceStreams):
     """Texts to id streams (little-endian unsigned 32-bit) and back, for one vocabulary."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
+        super().__init__(pattern, "<u4", CACHE)
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.replay = MergeReplay(self.ranks)
-        # \s and \S by the Unicode property, whatever the regex library takes them for
-        spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
-        self.split = regex.compile(spelled).findall
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, heads: set[str], rest: set[str]) -> None:
-        parts = [(self.heads, h, self.split(h)) for h in heads] + [(self.rest, p, self.split(" " + p)) for p in rest]
-        met = {w for _, _, ws in parts for w in ws}
-        trim(self.words, met, CACHE)
-        new = [w for w in met if w not in self.words]
-        slow = []
-        for w in new:
-            raw = w.encode()
-            if raw in self.ranks:
-                self.words[w] = self.ranks[raw].to_bytes(4, "little")
-            else:
-                slow.append((w, raw))
-        self.words.update(zip((w for w, _ in slow), self.replay.encode([raw for _, raw in slow]), strict=True))
-        get = self.words.__getitem__
-        for known, piece, ws in parts:
-            known[piece] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A word of the vocabulary is its own token; the merges are replayed over all others at once."""
+        raw = [w.encode() for w in words]
+        known = np.array([w in self.ranks for w in raw], bool)
+        ids, start, n = self.replay.encode([w for w in raw if w not in self.ranks])
+        own = np.array([self.ranks[w] for w in raw if w in self.ranks], np.int64)
+        at, size = np.empty(len(raw), np.int64), np.ones(len(raw), np.int64)
+        at[~known], size[~known] = start, n
+        at[known] = len(ids) + np.arange(len(own))
+        return np.concatenate([ids, own]).astype(self.kind), at, size
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The id stream of each text of one block."""
-        cut = [pieces(t) for t in texts]
-        heads = {c[0] for c in cut}
-        rest: set[str] = set()
-        for c in cut:
-            rest.update(c[1:])
-        trim(self.heads, heads, CACHE // 8)
-        trim(self.rest, rest, CACHE)
-        self._learn({h for h in heads if h not in self.heads}, {p for p in rest if p not in self.rest})
-        get = self.rest.__getitem__
-        for c in cut:
-            yield b"".join((self.heads[c[0]], *map(get, c[1:])))
+        flat, starts = self.streams(texts)
+        raw = flat.tobytes()
+        for lo, hi in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            yield raw[4 * lo : 4 * hi]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.replay.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,12 +86,105 @@ def held(key: object, make: Callable):
     return _HELD[key]
 
 
-def trim(known: dict, needed: Iterable, limit: int) -> None:
-    """Beyond ``limit`` entries keep only those that the present block needs: rare words go, common ones stay."""
-    if len(known) > limit:
-        kept = {k: known[k] for k in needed if k in known}
-        known.clear()
-        known.update(kept)
+class _Numbers(dict):
+    """Numbers keys as they are first met, continuing ``met``'s count; new keys wait in ``fresh``."""
+
+    def __init__(self, met: list[int]):
+        super().__init__()
+        self.met, self.fresh = met, []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = self.met[0]
+        self.met[0] = n + 1
+        self.fresh.append(key)
+        return n
+
+
+class PieceStreams:
+    """Id streams of blocks of texts: a piece is a number, the ids of all pieces lie in one pool.
+
+    The tokenizer pattern splits new pieces into words, and a subclass tells the ids of the
+    words of a block that differ; a piece is split once until the table is full and starts
+    afresh. Streams are gathered from the pool with arrays.
+    """
+
+    def __init__(self, pattern: str, kind: str, limit: int, end: int | None = None):
+        import regex
+
+        # \s and \S by the Unicode property, whatever the regex library takes them for
+        spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
+        self.split = regex.compile(spelled).findall
+        self.kind, self.limit, self.end = kind, limit, end
+        self._reset()
+
+    def _reset(self) -> None:
+        self.met = [1]
+        self.rest, self.heads = _Numbers(self.met), _Numbers(self.met)
+        # entry 0 closes a stream
+        self.pool = np.array([] if self.end is None else [self.end], self.kind)
+        self.at, self.size = np.zeros(1, np.int64), np.array([len(self.pool)], np.int64)
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of words, each one match of the pattern."""
+        raise NotImplementedError
+
+    def _ids_of(self, parts: list[str], glue: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of pieces with ``glue`` before them."""
+        # letters alone are one match of the pattern
+        words = [[glue + p] if p.isalpha() else self.split(glue + p) for p in parts]
+        table: dict[str, int] = {}
+        order = np.array([table.setdefault(w, len(table)) for ws in words for w in ws], np.int64)
+        pool, at, size = self.word_ids(list(table))
+        n = size[order]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(at[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        stop = np.concatenate([[0], ends])[np.cumsum([len(ws) for ws in words])]
+        start = np.concatenate([[0], stop[:-1]])
+        return ids, start, stop - start
+
+    def whole(self, text: str) -> np.ndarray | None:
+        """The ids of a text that cannot be cut into pieces, None for all others."""
+        return None
+
+    def _learn(self, numbers: _Numbers, glue: str) -> None:
+        fresh, numbers.fresh = numbers.fresh, []
+        if fresh:
+            ids, start, size = self._ids_of(fresh, glue)
+            self.at = np.concatenate([self.at, start + len(self.pool)])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, ids])
+
+    def streams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The streams of one block, one behind the other; where each starts, and the end of all."""
+        if self.met[0] > self.limit:
+            self._reset()
+        cut = [pieces(t) for t in texts]
+        own = {i: ids for i, t in enumerate(texts) if (ids := self.whole(t)) is not None}
+        for i in own:
+            cut[i] = [""]
+        n = np.array([len(c) - 1 for c in cut], np.int64)
+        later: list[str] = []
+        for c in cut:
+            later += c[1:]
+        numbers = np.fromiter(map(self.rest.__getitem__, later), np.int64, len(later))
+        self._learn(self.rest, " ")
+        first = [self.heads[c[0]] for c in cut]
+        self._learn(self.heads, "")
+        for i, ids in own.items():
+            first[i] = self.met[0]
+            self.met[0] += 1
+            self.at, self.size, self.pool = np.append(self.at, len(self.pool)), np.append(self.size, len(ids)), np.concatenate([self.pool, ids])
+        # each text: its head, its other pieces, entry 0
+        close = np.cumsum(n + 2) - 1
+        open_ = close - n - 1
+        at, other = np.zeros(int(n.sum()) + 2 * len(cut), np.int64), np.ones(int(n.sum()) + 2 * len(cut), bool)
+        at[open_] = first
+        other[open_] = other[close] = False
+        at[other] = numbers
+        size = self.size[at]
+        ends = np.cumsum(size)
+        out = self.pool[np.repeat(self.at[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.concatenate([[0], ends[close]]).astype(np.int64)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Documents are encoded with the tokenizers library, each followed by an end id. A rolling
 (gear) hash over the last 16 ids cuts every id stream where its content says so, so equal
-passages give equal chunks wherever they stand. The store has three Parquet tables below
+passages give equal chunks wherever they stand. The store has four Parquet tables below
 its path, in any file system that Spark writes:
 
-* ``chunks``   (digest, payload): every distinct chunk once, as little-endian 16-bit ids
-  (32-bit for a vocabulary beyond 65,536), under its BLAKE2b digest;
+* ``chunks``   (digest, payload): every distinct chunk once, as zstd of little-endian 16-bit
+  ids (32-bit for a vocabulary beyond 65,536), under the BLAKE2b digest of the ids;
+* ``dictionary`` (data): the compression dictionary, trained on DICTIONARY_DOCS documents;
 * ``recipes``  (part, row, doc_id, local_start, n_tokens, digests, root): the documents in
   ascending doc_id order, each the list of its chunks and the Merkle root over them;
 * ``manifest`` (part, start, n_docs, n_tokens, root): for each range of documents its ids
@@ -29,22 +30,26 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticelake.llm.common import blocks, column, documents, map_arrow, pieces, table, texts_of
+from latticelake.llm.common import PieceStreams, blocks, column, documents, held, map_arrow, table, texts_of
 from latticelake.session import scratch_path
 
 #: The id put behind each document.
 END = 0
 #: Chunk sizes in ids: least, one in MEAN positions ends a chunk, most.
 LEAST, MEAN, MOST = 64, 256, 2048
-CACHE = 500_000
+CACHE = 800_000
+#: Pieces that are encoded in one call of the library.
+TOGETHER = 2_000
+#: Documents and bytes of the compression dictionary.
+DICTIONARY_DOCS, DICTIONARY_BYTES = 400, 65_536
 _DIGEST = 20
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -62,42 +67,59 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else digest(b"")
 
 
-class Encoder:
-    """Ids by the tokenizers library; pieces between spaces are encoded once each."""
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [(chr(b), chr(256 + i)) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)]
+
+
+def _spelled(words: list[bytes]) -> str:
+    """Words in the byte-level alphabet with a space between them; the byte FF is in no UTF-8 text."""
+    text = b"\xff".join(words).decode("latin-1")
+    for c, sign in _OTHERS:
+        if c in text:
+            text = text.replace(c, sign)
+    return text.replace("\xff", " ")
+
+
+class Encoder(PieceStreams):
+    """Ids by the tokenizers library, many words in one call; each stream is closed by the end id."""
+
+    def __init__(self, path: str, end: int = END):
+        import public_tokenizers
 
-    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same for words that are split and in the byte-level alphabet already, with a space between them.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cut = [[""] if i in whole else pieces(t) for i, t in enumerate(texts)]
-        for known in (self.heads, self.rest):
-            if len(known) > CACHE:
-                known.clear()
-        rest: set[str] = set()
-        for c in cut:
-            rest.update(c[1:])
-        heads = [h for h in {c[0] for c in cut} if h not in self.heads]
-        new = [p for p in rest if p not in self.rest]
-        self.heads.update(zip(heads, self._ids(heads), strict=True))
-        self.rest.update(zip(new, self._ids([" " + p for p in new]), strict=True))
-        get = self.rest.__getitem__
-        return [self._ids([texts[i]])[0] if i in whole else b"".join((self.heads[c[0]], *map(get, c[1:]))) for i, c in enumerate(cut)]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+        vocab = self.tokenizer.get_vocab()
+        #: Bytes of each token: the byte-level alphabet has one character for each.
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(t) for t in vocab]
+        super().__init__(public_tokenizers.PATTERN, "<u2" if len(vocab) <= 1 << 16 else "<u4", CACHE, end)
+
+    def _ids(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From texts of many words; tokens never cross words, so their byte lengths tell which word they are of."""
+        raw = [w.encode() for w in words]
+        made = [self._ids(self.plain, _spelled(raw[lo : lo + TOGETHER])) for lo in range(0, len(raw), TOGETHER)]
+        ids = np.concatenate(made) if made else np.empty(0, self.kind)
+        stop = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w) for w in raw])) + 1
+        start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+        return ids, start, stop - start
+
+    def whole(self, text: str) -> np.ndarray | None:
+        """A special token splits a text before the pattern does."""
+        return self._ids(self.tokenizer, text) if any(s in text for s in self.special) else None
+
+
+def encoder(path: str, end: int) -> Encoder:
+    return held(("idstore", path, end), lambda: Encoder(path, end))
 
 
 def cuts(ids: np.ndarray) -> np.ndarray:
@@ -121,35 +143,58 @@ def chunk(stream: bytes, width: int, ends: list[int]) -> list[bytes]:
     return out
 
 
-def _stage(docs: DataFrame, path: str, end: int) -> DataFrame:
+def _chunked(flat: np.ndarray, starts: np.ndarray, width: int) -> Iterator[list[bytes]]:
+    """The chunks of each stream of a block."""
+    found, raw = cuts(flat), flat.tobytes()
+    at = np.searchsorted(found, starts)
+    for lo, hi, i, j in zip(starts.tolist(), starts[1:].tolist(), at.tolist(), at[1:].tolist(), strict=False):
+        yield chunk(raw[lo * width : hi * width], width, (found[i:j] - lo).tolist())
+
+
+def _dictionary(docs: DataFrame, path: str) -> bytes:
+    """A zstd dictionary from a bounded sample (least hash of doc_id); empty where there is too little to learn."""
+    picked = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(DICTIONARY_DOCS)
+    texts = [r["text"] or "" for r in docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.substring("text", 1, 20_000).alias("text")).limit(2 * DICTIONARY_DOCS).collect()]
+    enc = Encoder(path)
+    samples = [p for own in _chunked(*enc.streams(texts), int(enc.kind[2])) for p in own]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 64 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _codec(data: bytes, kind: type):
+    """A compressor or decompressor with the dictionary, if there is one."""
+    more = {"level": 3} if kind is zstandard.ZstdCompressor else {}
+    return kind(dict_data=zstandard.ZstdCompressionDict(data), **more) if data else kind(**more)
+
+
+def _stage(docs: DataFrame, path: str, end: int, data: bytes) -> DataFrame:
     """A row for each document (doc_id, n_tokens, digests, root) and for each chunk new to its block (digest, payload)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, end)
         width = int(enc.kind[2])
-        last = end.to_bytes(width, "little")
+        pack = _codec(shared.value, zstandard.ZstdCompressor).compress
         names = ["doc_id", "n_tokens", "digests", "root", "digest", "payload"]
         for batch in batches:
             texts = texts_of(batch)
             for lo, hi in blocks(texts):
-                streams = [s + last for s in enc.encode(texts[lo:hi])]
-                found = cuts(np.frombuffer(b"".join(streams), enc.kind))
-                starts = np.cumsum([0, *(len(s) // width for s in streams)])
-                at = np.searchsorted(found, starts)
+                flat, starts = enc.streams(texts[lo:hi])
                 fresh: dict[bytes, bytes] = {}
                 recipes = []
-                for i, s in enumerate(streams):
-                    parts = chunk(s, width, (found[at[i] : at[i + 1]] - starts[i]).tolist())
+                for parts in _chunked(flat, starts, width):
                     recipes.append([digest(p) for p in parts])
                     fresh.update(zip(recipes[-1], parts, strict=True))
-                n, m = len(streams), len(fresh)
+                n, m = len(recipes), len(fresh)
                 ids = column(batch, "doc_id").slice(lo, n)
                 yield pa.record_batch(
                     [
-                        pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.array([len(s) // width for s in streams] + [None] * m, pa.int64()),
+                        pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.array(np.diff(starts).tolist() + [None] * m, pa.int64()),
                         pa.array(recipes + [None] * m, pa.list_(pa.binary())), pa.array([merkle(r) for r in recipes] + [None] * m, pa.binary()),
-                        pa.array([None] * n + list(fresh), pa.binary()), pa.array([None] * n + list(fresh.values()), pa.binary()),
+                        pa.array([None] * n + list(fresh), pa.binary()), pa.array([None] * n + [pack(p) for p in fresh.values()], pa.binary()),
                     ],
                     names,
                 )
@@ -183,9 +228,13 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end:
 
     spark = docs.sparkSession
     staged_at = scratch_path(spark, "idstore-staged")
-    _stage(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"), end).write.option("compression", "zstd").parquet(staged_at)
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    data = _dictionary(docs, vocabulary)
+    spark.createDataFrame([(data,)], "data binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    # payloads are compressed already
+    _stage(docs, vocabulary, end, data).write.option("compression", "none").parquet(staged_at)
     staged = spark.read.parquet(staged_at)
-    staged.where("digest is not null").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    staged.where("digest is not null").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "none").parquet(f"{path}/chunks")
     recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "digests", "root")
     _number(recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")).write.parquet(f"{path}/recipes")
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_at)
@@ -232,9 +281,11 @@ def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = False
     Raises where a chunk is not what its digest says or a document's root differs.
     """
     kind = spark.read.parquet(f"{path}/recipes").schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["data"]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaves, crc, n, parts = None, [], 0, 0, []
+        unpack = _codec(shared.value, zstandard.ZstdDecompressor).decompress
 
         def close(rows: list) -> None:
             if now is not None:
@@ -256,6 +307,10 @@ def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = False
                 if now is None or row != now[0]:
                     close(rows)
                     now, leaves, crc, n, parts = (row, doc_id, part, local, root), [], 0, 0, []
+                try:
+                    payload = unpack(payload)
+                except zstandard.ZstdError:
+                    payload = b""
                 if digest(payload) != name:
                     raise ValueError(f"chunk {name.hex()} is damaged")
                 leaves.append(name)
