@@ -188,11 +188,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, broadcast_chars: int = BROA
     return _by_shuffle(docs, items)
 
 
+def _probe(shared, mark: str) -> tuple[Probe, Memo]:
+    """The probe of broadcast items and the table of word hashes, made once in a worker."""
+    return held(("decontam", mark), lambda: (Probe(shared.value), Memo(word_hash, CACHE)))
+
+
+def _mark(items: list[tuple[str, str]]) -> str:
+    return hashlib.sha256(repr(sorted(items)).encode()).hexdigest()
+
+
 def _by_broadcast(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, mark = docs.sparkSession.sparkContext.broadcast(items), _mark(items)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, memo = Probe(shared.value), _memo()
+        probe, memo = _probe(shared, mark)
         for batch in batches:
             texts = texts_of(batch)
             for lo, hi in blocks(texts):
@@ -329,10 +338,11 @@ def clean(docs: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CH
     """
     items, size = _sized(items)
     if size <= broadcast_chars:
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        own = [tuple(r) for r in items.collect()]
+        shared, mark = docs.sparkSession.sparkContext.broadcast(own), _mark(own)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe, memo = Probe(shared.value), _memo()
+            probe, memo = _probe(shared, mark)
             for batch in batches:
                 texts = texts_of(batch)
                 found = [(at, len(own)) for lo, hi in blocks(texts) for _, at, own in hits(texts[lo:hi], probe, memo)]

@@ -49,7 +49,7 @@ GROUP_NODES = 16_000
 #: Rounds of comparisons with bucket leaders in larger groups; nodes of a block of queries behind them.
 ROUNDS, QUERY_NODES = 3, 2_000
 #: Keys that may be broadcast (16 bytes each).
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 250_000
 CACHE = 200_000
 
 

@@ -15,7 +15,7 @@ the original.
 Neighbours in doc_id order meet by one shuffle: cut points of doc_id are taken from the
 table itself, every document goes to its part, and the document at a cut point also, as a
 guest, to the part before. Nothing is collected but the cut points (one for PART_CHARS of
-text), and rows are streamed, two documents in memory at a time.
+text, MOST_PARTS at most), and rows are streamed, two documents in memory at a time.
 
 Defined results: a null text is the empty text; an empty text has the empty fingerprint,
 like 1 to another empty one and 0 to any other; a text of fewer than WIDTH bytes is one
@@ -43,8 +43,8 @@ WIDTH, NEIGHBOURS, POPULAR = 64, 64, 16
 FILTER, HASHES, LOAD = 2048, 5, 160
 #: The entropy of text windows in bits, from which rarity is measured.
 USUAL = 4.05
-#: Characters of text for which there is one cut point.
-PART_CHARS = 8_000_000
+#: Characters of text for which there is one cut point, and cut points at most: beyond, parts grow and are sorted with spills.
+PART_CHARS, MOST_PARTS = 8_000_000, 20_000
 
 _ONE = 1 << 20  # fixed point
 _F = np.array([0] + [round(c * math.log2(c) * _ONE) for c in range(1, WIDTH + 1)], np.int64)
@@ -141,7 +141,7 @@ def _cut_points(docs: DataFrame) -> list[int]:
     """Values of doc_id that part the table into stretches of about PART_CHARS characters; the least comes first."""
     key = _key()
     total = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // PART_CHARS))
+    parts = min(MOST_PARTS, max(1, -(-total // PART_CHARS)))
     shares = [i / parts for i in range(parts)]
     got = docs.agg(F.percentile_approx(key, shares, 20 * parts + 100).alias("at"), F.min(key).alias("least")).first()
     return sorted({got["least"], *(got["at"] or ())}) if got["least"] is not None else []
