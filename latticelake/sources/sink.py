@@ -229,7 +229,10 @@ class FramesWriter(DataSourceWriter):
 
 def write_frames(frames: DataFrame, path: str, *, append: bool = False, compression: str = "infer", level: int | None = None, single: bool = True) -> None:
     """Write a frames table in the order of (source, frame_index); the bytes do not depend on the partitioning."""
+    from latticelake.sources.xyzframes import register
+
     write_codec(path, compression, append, level)
+    register(frames.sparkSession)
     ordered = frames.repartitionByRange("source", "frame_index").sortWithinPartitions("source", "frame_index").select("n_atoms", "columns", "metadata")
     writer = ordered.write.format("xyzframes").mode("append").option("append", str(append).lower()).option("compression", compression).option("single", str(single).lower())
     if level is not None:
