@@ -356,6 +356,26 @@ def test_licences(spark, docs, odd, none):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
 
 
+def test_licences_in_whole_and_with_titles(spark):
+    from latticelake.llm import licence_texts
+
+    mit = dict(licence_texts.LICENCES)["MIT"]
+    texts = {"MIT": "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + mit}
+    for name, titles in licence_texts._LONG:
+        title, text = licence_texts._read(name, titles)
+        texts |= {f"{name} titled": f"{title}\n\n{text}".replace("\n", "\r\n"), f"{name} bare": text}
+    apache = texts["Apache-2.0 titled"]
+    texts["Apache-2.0 short"] = apache[: apache.index("APPENDIX")]
+    texts["Apache-2.0 filled"] = apache.replace("[yyyy] [name of copyright owner]", "2021 Jane Doe")
+    texts["notice"] = "# SPDX-License-Identifier: LGPL-2.1-or-later\ncode"
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = licences.scan(df).collect()
+    got = {r["doc_id"]: r["licence"] for r in found}
+    assert got.pop("notice") is None and got == {k: k.split(" ")[0] for k in got}
+    assert [r["notices"] for r in found if r["doc_id"] == "notice"] == ["LGPL-2.1-or-later-notice"]
+    assert rows(licences.scan(df)) == duck(licences.ORACLE, documents=df)
+
+
 # pipeline
 
 
