@@ -3,9 +3,10 @@
 Three base patterns (assignments, access keys, hexadecimal runs) give spans for certain.
 A conditional random field over tokens - tags begin, inside, outside - adds others: it
 sees each token's shape, length and entropy, its neighbours, and features of the file,
-and is decoded by Viterbi. Only tokens of at least CANDIDATE characters that hold a digit
-or follow a key word with an assignment sign may begin or continue a secret; all others
-are held at outside, so that decoding around such tokens equals decoding the whole text.
+and is decoded by Viterbi. Only tokens of at least CANDIDATE characters that hold a digit,
+are long or dense, or follow a key word and an assignment sign may begin or continue a
+secret; all others are held at outside, so that decoding around such tokens equals
+decoding the whole text.
 
 The field learns from the windows of at most SAMPLE documents (least hash of doc_id)
 whose tokens the base patterns tag; only these windows reach the driver.
@@ -23,26 +24,29 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticelake.llm.common import column, map_arrow, table, texts_of
+from latticelake.llm.common import Memo, column, map_arrow, table, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Documents that the field learns from at most, and windows of them.
 SAMPLE, WINDOWS = 1_000, 4_000
 #: Characters of a token that may be a secret; characters of context on each side of it.
 CANDIDATE, CONTEXT = 8, 64
+#: Characters from which a token without digits may be a secret by itself: of any kind, or of more than DENSE_BITS bits a character.
+LONG, DENSE, DENSE_BITS = 20, 12, 3.5
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _DIGITS = re.compile(r"[0-9]+")
-_SPACE = re.compile(r"[ \n\t\r]")
 _TOKEN = re.compile(r"[\w+/.-]+|[^\w\s]")
-_SIGN = re.compile(r"""["']?\s*[:=]\s*["']?""")
+_RUN = re.compile(rf"[\w+/.-]{{{CANDIDATE},}}")
+_SET = re.compile("[:=]")
 _KEY = re.compile(r"pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential|bearer|auth", re.I)
 _O, _B, _I = 0, 1, 2
 
@@ -58,28 +62,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def bits_of(token: str) -> float:
+    n = len(token)
+    return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
+
+
+def strong(token: str) -> bool:
+    """Whether a token may be part of a secret wherever it stands: it holds a digit, or is long or dense."""
+    return len(token) >= CANDIDATE and (bool(_DIGITS.search(token)) or len(token) >= LONG or (len(token) >= DENSE and bits_of(token) > DENSE_BITS))
+
+
+_MET = Memo(strong, 100_000)
+
+
+def _strong(token: str) -> bool:
+    return _MET[token] if len(token) < LONG else True
+
+
+def _keyed(before: list[str]) -> bool:
+    """Whether the four tokens before one make it a value: a sign in the last two, a key word in any."""
+    return not {"=", ":"}.isdisjoint(before[-2:]) and any(_KEY.search(x) for x in before[-4:])
+
+
+def _before(text: str, at: int) -> list[re.Match]:
+    """The tokens before the one at ``at``, from CONTEXT characters back and at least four where there are so many."""
+    size = 2 * CONTEXT
+    while True:
+        lo = max(0, at - size)
+        found = list(_TOKEN.finditer(text, lo, at))[lo > 0 :]  # the first of a cut may be the rest of a token
+        if lo == 0 or (len(found) >= 4 and found[0].start() <= at - CONTEXT):
+            far = sum(m.start() <= at - CONTEXT for m in found)
+            return found[max(0, min(far - 1, len(found) - 4)) :]
+        size *= 4
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around everything that may be a secret, merged where they meet."""
-    marks: list[tuple[int, int]] = []
-    end = 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        start = max(text.rfind(c, end, m.start()) for c in " \n\t\r") + 1 or end
-        stop = _SPACE.search(text, m.end())
-        end = stop.start() if stop else len(text)
-        if end - start >= CANDIDATE:
-            marks.append((start, end))
-    if "=" in text or ":" in text:
-        for m in _KEY.finditer(text):
-            if sign := _SIGN.match(text, m.end()):
-                stop = _SPACE.search(text, sign.end())
-                end = stop.start() if stop else len(text)
-                if end - sign.end() >= CANDIDATE:
-                    marks.append((m.start(), end))
+    """Stretches of whole tokens around all that are free in the whole text, merged where they meet.
+
+    Each has at least four tokens before a free one and one behind it, as far as the text
+    has them: all that features, ``free`` and the steps from and to "outside" look at.
+    """
+    marks = {m.start(): m.end() for m in _RUN.finditer(text) if _strong(m[0])}
+    for s in _SET.finditer(text):
+        for m in islice(_TOKEN.finditer(text, s.end()), 2):
+            if m.end() - m.start() >= CANDIDATE and m.start() not in marks and _keyed([x[0] for x in _before(text, m.start())]):
+                marks[m.start()] = m.end()
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted(marks):
-        lo, hi = max(0, lo - CONTEXT), min(len(text), hi + CONTEXT)
+    for start, end in sorted(marks.items()):
+        before = _before(text, start)
+        lo, hi = before[0].start() if before else start, end
+        for m in _TOKEN.finditer(text, end):
+            hi = m.end()
+            if hi >= end + CONTEXT:
+                break
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -107,7 +142,7 @@ def file_features(text: str) -> list[str]:
 def features(tokens: list[str], i: int, file: list[str]) -> list[str]:
     t = tokens[i]
     n = len(t)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(t).values())
+    bits = bits_of(t)
     digits = sum(map(str.isdigit, t)) / n
     before = [_word(tokens[j]) if j >= 0 else "^" for j in (i - 1, i - 2, i - 3)]
     out = [
@@ -125,11 +160,7 @@ def features(tokens: list[str], i: int, file: list[str]) -> list[str]:
 
 def free(tokens: list[str]) -> list[bool]:
     """Which tokens may be part of a secret."""
-    out = []
-    for i, t in enumerate(tokens):
-        keyed = bool({"=", ":"} & set(tokens[max(0, i - 2) : i])) and any(_KEY.search(x) for x in tokens[max(0, i - 4) : i])
-        out.append(len(t) >= CANDIDATE and (bool(_DIGITS.search(t)) or keyed))
-    return out
+    return [len(t) >= CANDIDATE and (_strong(t) or _keyed(tokens[max(0, i - 4) : i])) for i, t in enumerate(tokens)]
 
 
 class Field:

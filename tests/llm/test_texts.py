@@ -73,6 +73,31 @@ def test_field_generalises_and_decodes_exactly(docs):
         assert tuple(f.tags(tokens, [])) == max(paths, key=cost)
 
 
+def test_windows_decode_as_the_whole_text(docs):
+    text = 'words before it and db_password_prod: "QwErTyUiOpAsDfGh" and words behind'
+    at = text.index("QwEr")
+    assert any(lo <= at and at + 16 <= hi for lo, hi in secrets.windows(text))
+    fields = [secrets.fit(docs)]
+    rnd, pick = np.random.default_rng(1), random.Random(1)
+    for _ in range(3):
+        f = secrets.Field({}, np.zeros((0, 3)), rnd.normal(size=(3, 3)) + secrets._BARRED)
+        names = {"bias": 0, "key": 1, "dense": 2, "p1:^": 3, "p3:word": 4, "n1:$": 5}
+        fields.append(secrets.Field(names, rnd.normal(size=(6, 3)) * 2, f.step))
+    parts = ["word", "a", ":", "=", '"', "password", "db_password_prod", "Authorization: Bearer", "QwErTyUiOpAsDfGh", "ordinarily", "a1b2c3d4e5", "x" * 300, "abcdefghijklmnopqrstuvwxyz", "\n", "(", "1914", "ſecret", "é" * 9]
+    texts = [text, "Authorization: Bearer qwertzuiopasdfgh", *(r["text"] or "" for r in docs.limit(40).collect())]
+    texts += ["".join(pick.choice(parts) + pick.choice(["", " ", " ", "  "]) for _ in range(pick.randrange(120))) for _ in range(300)]
+    for field in fields:
+        for t in texts:
+            found = [(m.start(), m.end()) for m in re.finditer(r"[\w+/.-]+|[^\w\s]", t)]
+            want = []
+            for (a, b), tag in zip(found, field.tags([t[a:b] for a, b in found], secrets.file_features(t)), strict=True):
+                if tag == 2:
+                    want[-1] = (want[-1][0], b)
+                elif tag:
+                    want.append((a, b))
+            assert field.spans(t) == want
+
+
 def test_redaction(docs, odd):
     out = secrets.redact(odd, None)
     assert out.columns == odd.columns
