@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,14 @@ from latticelake.session import ship
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text that one block of documents holds; one longer document is a block alone.
 BLOCK_CHARS = 4_000_000
-#: Rows of an Arrow batch, so that a batch of very long documents stays small.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch, so that a batch of very long documents stays small.
+BATCH_ROWS, BATCH_BYTES = 1_500, 16 << 20
 
 _ODD = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f" (?=[^{WHITE}])")
+#: White space before white space or the end, as RE2 spells it.
+_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_DOUBLE = rf"[{_RE2}](?:[{_RE2}]|\z)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,12 +104,21 @@ class _Numbers(dict):
         return n
 
 
+def _spread(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``pool`` that begin ``at``, one behind the other, and where each ends; beyond the pool its last entry stands."""
+    ends = np.cumsum(size)
+    if not len(ends) or not len(pool):
+        return pool[:0], ends
+    return pool.take(np.repeat(at - (ends - size), size) + np.arange(ends[-1]), mode="clip"), ends
+
+
 class PieceStreams:
     """Id streams of blocks of texts: a piece is a number, the ids of all pieces lie in one pool.
 
-    The tokenizer pattern splits new pieces into words, and a subclass tells the ids of the
-    words of a block that differ; a piece is split once until the table is full and starts
-    afresh. Streams are gathered from the pool with arrays.
+    Texts are cut and their distinct pieces found by Arrow; a piece is split into words by the
+    tokenizer pattern once, and a subclass tells the ids of the words; when the table is full,
+    pieces met in one block only leave it. A piece of letters and one sign is the piece of the letters and the sign's
+    ids. Streams are gathered from the pool with arrays.
     """
 
     def __init__(self, pattern: str, kind: str, limit: int, end: int | None = None):
@@ -114,6 +127,8 @@ class PieceStreams:
         # \s and \S by the Unicode property, whatever the regex library takes them for
         spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
         self.split = regex.compile(spelled).findall
+        #: Signs that the pattern cuts off behind letters, whatever follows them, if they end a piece.
+        self.signs = {c for c in ".,;:!?" if self.split(f" a{c} b") == [" a", c, " b"] and self.split(f"a{c}") == ["a", c]}
         self.kind, self.limit, self.end = kind, limit, end
         self._reset()
 
@@ -123,74 +138,156 @@ class PieceStreams:
         # entry 0 closes a stream
         self.pool = np.array([] if self.end is None else [self.end], self.kind)
         self.at, self.size = np.zeros(1, np.int64), np.array([len(self.pool)], np.int64)
+        self.again = np.zeros(1, bool)
+
+    def _trim(self) -> None:
+        """Keep the pieces that were met in a later block again; of a table of such alone, nothing."""
+        n = self.met[0]
+        keep = np.flatnonzero(np.append(self.again, np.zeros(max(0, n - len(self.again)), bool))[1:n]) + 1
+        if len(keep) > self.limit // 2:
+            self._reset()
+            return
+        keep = np.concatenate([[0], keep])
+        renumbered = np.full(n, -1, np.int64)
+        renumbered[keep] = np.arange(len(keep))
+        self.met[0] = len(keep)
+        for numbers in (self.rest, self.heads):
+            found = [(p, m) for p, m in zip(numbers, renumbered[list(numbers.values())].tolist(), strict=True) if m > 0]
+            numbers.clear()
+            numbers.update(found)
+        self.pool, ends = _spread(self.pool, self.at[keep], self.size[keep])
+        self.size = self.size[keep]
+        self.at = ends - self.size
+        self.again = np.zeros(len(keep), bool)
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size) of words, each one match of the pattern."""
         raise NotImplementedError
 
-    def _ids_of(self, parts: list[str], glue: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, size) of pieces with ``glue`` before them."""
+    def whole(self, texts: list[str]) -> dict[int, np.ndarray]:
+        """The ids of those texts that cannot be cut into pieces, by their place."""
+        return {}
+
+    def _add(self, numbers: list[int], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Pieces of these numbers have the ids from ``start`` on."""
+        if len(self.at) < self.met[0]:
+            more = max(self.met[0], len(self.at) * 3 // 2) - len(self.at)
+            self.at, self.size = np.append(self.at, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
+        self.at[numbers], self.size[numbers] = start + len(self.pool), size
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _split(self, numbers: list[int], parts: list[str]) -> None:
+        """Learn pieces, given with what stands before them, by the pattern."""
         # letters alone are one match of the pattern
-        words = [[glue + p] if p.isalpha() else self.split(glue + p) for p in parts]
+        words = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.split(p) for p in parts]
         table: dict[str, int] = {}
         order = np.array([table.setdefault(w, len(table)) for ws in words for w in ws], np.int64)
         pool, at, size = self.word_ids(list(table))
-        n = size[order]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(at[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = _spread(pool, at[order], size[order])
         stop = np.concatenate([[0], ends])[np.cumsum([len(ws) for ws in words])]
         start = np.concatenate([[0], stop[:-1]])
-        return ids, start, stop - start
-
-    def whole(self, text: str) -> np.ndarray | None:
-        """The ids of a text that cannot be cut into pieces, None for all others."""
-        return None
-
-    def _learn(self, numbers: _Numbers, glue: str) -> None:
-        fresh, numbers.fresh = numbers.fresh, []
-        if fresh:
-            ids, start, size = self._ids_of(fresh, glue)
-            self.at = np.concatenate([self.at, start + len(self.pool)])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, ids])
+        self._add(numbers, ids, start, stop - start)
+
+    def _learn(self) -> None:
+        """Learn the fresh pieces: heads as they are, others with the space or line end before them."""
+        fresh, self.heads.fresh = self.heads.fresh, []
+        numbers, parts = [self.heads[p] for p in fresh], fresh
+        fresh, self.rest.fresh = self.rest.fresh, []
+        letters: list[str] = []
+        signed: dict[str, tuple[list[int], list[int]]] = {c: ([], []) for c in self.signs}
+        for p in fresh:
+            if p.isalpha():
+                letters.append(p)
+            elif p[-1] in signed and p[:-1].isalpha():
+                own, of = signed[p[-1]]
+                own.append(self.rest[p])
+                of.append(self.rest[p[:-1]])
+            else:
+                numbers.append(self.rest[p])
+                parts.append(p if p[0] == "\n" else " " + p)
+        letters += self.rest.fresh
+        self.rest.fresh = []
+        numbers += [self.rest[p] for p in letters]
+        parts += [" " + p for p in letters]
+        if parts:
+            self._split(numbers, parts)
+        for sign, (own, of) in signed.items():
+            if own:
+                last = self._split_sign(sign)
+                size = self.size[of] + len(last)
+                ids, ends = _spread(self.pool, self.at[of], size)  # with room for the sign behind each
+                for j, x in enumerate(last):
+                    ids[ends - len(last) + j] = x
+                self._add(own, ids, ends - size, size)
+
+    def _split_sign(self, sign: str) -> np.ndarray:
+        ids, start, size = self.word_ids([sign])
+        return ids[int(start[0]) : int(start[0] + size[0])]
 
     def streams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The streams of one block, one behind the other; where each starts, and the end of all."""
         if self.met[0] > self.limit:
-            self._reset()
-        cut = [pieces(t) for t in texts]
-        own = {i: ids for i, t in enumerate(texts) if (ids := self.whole(t)) is not None}
-        for i in own:
-            cut[i] = [""]
-        n = np.array([len(c) - 1 for c in cut], np.int64)
-        later: list[str] = []
-        for c in cut:
-            later += c[1:]
-        numbers = np.fromiter(map(self.rest.__getitem__, later), np.int64, len(later))
-        self._learn(self.rest, " ")
-        first = [self.heads[c[0]] for c in cut]
-        self._learn(self.heads, "")
+            self._trim()
+        before = self.met[0]
+        own = self.whole(texts)
+        flat, n, heads = cut_pieces(["" if i in own else t for i, t in enumerate(texts)])
+        coded = flat.dictionary_encode()
+        differ = np.array([self.rest[p] for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)
+        numbers = differ[coded.indices.to_numpy()]
+        first = [self.heads[h] for h in heads]
+        if len(self.again) < before:
+            self.again = np.append(self.again, np.zeros(before - len(self.again), bool))
+        self.again[differ[differ < before]] = True
+        self._learn()
         for i, ids in own.items():
             first[i] = self.met[0]
             self.met[0] += 1
-            self.at, self.size, self.pool = np.append(self.at, len(self.pool)), np.append(self.size, len(ids)), np.concatenate([self.pool, ids])
+            self._add([first[i]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
         # each text: its head, its other pieces, entry 0
         close = np.cumsum(n + 2) - 1
         open_ = close - n - 1
-        at, other = np.zeros(int(n.sum()) + 2 * len(cut), np.int64), np.ones(int(n.sum()) + 2 * len(cut), bool)
+        at, other = np.zeros(int(n.sum()) + 2 * len(n), np.int64), np.ones(int(n.sum()) + 2 * len(n), bool)
         at[open_] = first
         other[open_] = other[close] = False
         at[other] = numbers
-        size = self.size[at]
-        ends = np.cumsum(size)
-        out = self.pool[np.repeat(self.at[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        out, ends = _spread(self.pool, self.at[at], self.size[at])
         return out, np.concatenate([[0], ends[close]]).astype(np.int64)
 
 
+def cut_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, list[str]]:
+    """(pieces behind each text's head, how many each text has, heads), by ``pieces``.
+
+    Where no white space meets white space, a line end starts a piece as well and stays in it:
+    the pattern matches it alone. Such texts, nearly all, are cut by Arrow.
+    """
+    whole = pa.array(texts, pa.string())
+    odd = set(np.flatnonzero(pc.match_substring_regex(whole, _DOUBLE).to_numpy(zero_copy_only=False)).tolist())
+    if odd:
+        whole = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string())
+    cut = pc.split_pattern(pc.replace_substring(whole, "\n", " \n"), " ")
+    at, flat = cut.offsets.to_numpy(), cut.values
+    heads = flat.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()
+    if not odd:
+        keep = np.ones(len(flat), bool)
+        keep[at[:-1]] = False
+        return flat.filter(pa.array(keep)), np.diff(at) - 1, heads
+    parts: list[pa.Array] = []
+    n = np.diff(at) - 1
+    for i, t in enumerate(texts):
+        if i in odd:
+            heads[i], *more = pieces(t)
+            n[i] = len(more)
+            parts.append(pa.array(more, pa.string()))
+        else:
+            parts.append(flat.slice(at[i] + 1, at[i + 1] - at[i] - 1))
+    return pa.concat_arrays(parts), n, heads
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped and batches bounded in rows."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

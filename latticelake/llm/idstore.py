@@ -5,18 +5,25 @@ Documents are encoded with the tokenizers library, each followed by an end id. A
 passages give equal chunks wherever they stand. The store has four Parquet tables below
 its path, in any file system that Spark writes:
 
-* ``chunks``   (digest, payload): every distinct chunk once, as zstd of little-endian 16-bit
-  ids (32-bit for a vocabulary beyond 65,536), under the BLAKE2b digest of the ids;
-* ``dictionary`` (data): the compression dictionary, trained on DICTIONARY_DOCS documents;
+* ``chunks``   (digest, payload, uses): every distinct chunk once, as zstd of little-endian
+  16-bit ids (32-bit for a vocabulary beyond 65,536), under the BLAKE2b digest of the ids;
+  bucketed and sorted by digest, so that reading joins it without moving a payload;
 * ``recipes``  (part, row, doc_id, local_start, n_tokens, digests, root): the documents in
   ascending doc_id order, each the list of its chunks and the Merkle root over them;
 * ``manifest`` (part, start, n_docs, n_tokens, root): for each range of documents its ids
-  before it and the Merkle root over its documents' roots.
+  before it and the Merkle root over its documents' roots;
+* ``format``   (width, buckets, uses, parts, root, dictionary): the width of an id, what the
+  other tables must hold, the root over the manifest, and the compression dictionary.
 
 Order comes from a range partitioning of the light recipes alone and a prefix sum over
-one row per partition; payloads are shuffled once by digest to be stored and once more by
-document to be read, and are streamed document by document on reading, which checks every
-chunk against its digest and every document against its root.
+one row per partition. Payloads are shuffled once by digest to be stored and once by
+document to be read. A chunk that documents use more often than one use in HOT is joined by
+broadcast - there are at most HOT of them, each of at most MOST ids - so that no common
+passage makes a hot key.
+
+Reading checks everything from the top: the manifest against the format's root, the recipes
+of each part against the manifest (number, tokens, places, root), each document against its
+recipe, each chunk against its digest. A lost or altered chunk, recipe, part or table raises.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a doc_id
 follow each other by their content; a null doc_id sorts first; an empty table gives an
@@ -28,7 +35,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,8 +57,12 @@ LEAST, MEAN, MOST = 64, 256, 2048
 CACHE = 800_000
 #: Pieces that are encoded in one call of the library.
 TOGETHER = 2_000
-#: Documents and bytes of the compression dictionary.
-DICTIONARY_DOCS, DICTIONARY_BYTES = 400, 65_536
+#: The compression dictionary: documents whose chunks it may learn from, chunks it learns from, its bytes.
+DICTIONARY_DOCS, DICTIONARY_CHUNKS, DICTIONARY_BYTES = 400, 4_000, 65_536
+#: A chunk with more than one in so many of all uses is hot.
+HOT = 2_000
+#: Payload bytes of a bucket of chunks.
+BUCKET_BYTES = 64 << 20
 _DIGEST = 20
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -113,9 +126,9 @@ class Encoder(PieceStreams):
         start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
         return ids, start, stop - start
 
-    def whole(self, text: str) -> np.ndarray | None:
+    def whole(self, texts: list[str]) -> dict[int, np.ndarray]:
         """A special token splits a text before the pattern does."""
-        return self._ids(self.tokenizer, text) if any(s in text for s in self.special) else None
+        return {i: self._ids(self.tokenizer, t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
 
 
 def encoder(path: str, end: int) -> Encoder:
@@ -151,14 +164,22 @@ def _chunked(flat: np.ndarray, starts: np.ndarray, width: int) -> Iterator[list[
         yield chunk(raw[lo * width : hi * width], width, (found[i:j] - lo).tolist())
 
 
-def _dictionary(docs: DataFrame, path: str) -> bytes:
-    """A zstd dictionary from a bounded sample (least hash of doc_id); empty where there is too little to learn."""
+def _dictionary(docs: DataFrame, path: str, end: int) -> bytes:
+    """A zstd dictionary from DICTIONARY_CHUNKS chunks (least digest) of DICTIONARY_DOCS ids' whole texts (least hash); empty where there is too little to learn."""
     picked = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(DICTIONARY_DOCS)
-    texts = [r["text"] or "" for r in docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.substring("text", 1, 20_000).alias("text")).limit(2 * DICTIONARY_DOCS).collect()]
-    enc = Encoder(path)
-    samples = [p for own in _chunked(*enc.streams(texts), int(enc.kind[2])) for p in own]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, end)
+        for batch in batches:
+            texts = texts_of(batch)
+            for lo, hi in blocks(texts):
+                found = [p for own in _chunked(*enc.streams(texts[lo:hi]), int(enc.kind[2])) for p in own]
+                yield pa.record_batch([pa.array([digest(p) for p in found], pa.binary()), pa.array(found, pa.binary())], ["digest", "chunk"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text")
+    found = map_arrow(texts, run, "digest binary, chunk binary").distinct().orderBy("digest").limit(DICTIONARY_CHUNKS).select("chunk").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 64 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["chunk"]) for r in found]).as_bytes() if len(found) >= 64 else b""
     except zstandard.ZstdError:
         return b""
 
@@ -170,7 +191,7 @@ def _codec(data: bytes, kind: type):
 
 
 def _stage(docs: DataFrame, path: str, end: int, data: bytes) -> DataFrame:
-    """A row for each document (doc_id, n_tokens, digests, root) and for each chunk new to its block (digest, payload)."""
+    """A row for each document (doc_id, n_tokens, digests, root) and for each chunk new to its block (digest, payload, size, uses)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
@@ -178,28 +199,32 @@ def _stage(docs: DataFrame, path: str, end: int, data: bytes) -> DataFrame:
         enc = encoder(path, end)
         width = int(enc.kind[2])
         pack = _codec(shared.value, zstandard.ZstdCompressor).compress
-        names = ["doc_id", "n_tokens", "digests", "root", "digest", "payload"]
+        names = ["doc_id", "n_tokens", "digests", "root", "digest", "payload", "size", "uses"]
         for batch in batches:
             texts = texts_of(batch)
             for lo, hi in blocks(texts):
                 flat, starts = enc.streams(texts[lo:hi])
                 fresh: dict[bytes, bytes] = {}
+                uses: Counter[bytes] = Counter()
                 recipes = []
                 for parts in _chunked(flat, starts, width):
                     recipes.append([digest(p) for p in parts])
                     fresh.update(zip(recipes[-1], parts, strict=True))
+                    uses.update(recipes[-1])
                 n, m = len(recipes), len(fresh)
+                packed = [pack(p) for p in fresh.values()]
                 ids = column(batch, "doc_id").slice(lo, n)
                 yield pa.record_batch(
                     [
                         pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.array(np.diff(starts).tolist() + [None] * m, pa.int64()),
                         pa.array(recipes + [None] * m, pa.list_(pa.binary())), pa.array([merkle(r) for r in recipes] + [None] * m, pa.binary()),
-                        pa.array([None] * n + list(fresh), pa.binary()), pa.array([None] * n + [pack(p) for p in fresh.values()], pa.binary()),
+                        pa.array([None] * n + list(fresh), pa.binary()), pa.array([None] * n + packed, pa.binary()),
+                        pa.array([None] * n + list(map(len, packed)), pa.int64()), pa.array([None] * n + [uses[d] for d in fresh], pa.int64()),
                     ],
                     names,
                 )
 
-    return map_arrow(documents(docs), run, f"doc_id {kind}, n_tokens long, digests array<binary>, root binary, digest binary, payload binary")
+    return map_arrow(documents(docs), run, f"doc_id {kind}, n_tokens long, digests array<binary>, root binary, digest binary, payload binary, size long, uses long")
 
 
 def _number(recipes: DataFrame) -> DataFrame:
@@ -223,65 +248,130 @@ def _number(recipes: DataFrame) -> DataFrame:
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END) -> None:
-    """Encode documents and write the store's three tables below ``path``."""
+    """Encode documents and write the store's tables below ``path``."""
     import public_tokenizers
 
     spark = docs.sparkSession
     staged_at = scratch_path(spark, "idstore-staged")
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    data = _dictionary(docs, vocabulary)
-    spark.createDataFrame([(data,)], "data binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    data = _dictionary(docs, vocabulary, end)
     # payloads are compressed already
     _stage(docs, vocabulary, end, data).write.option("compression", "none").parquet(staged_at)
     staged = spark.read.parquet(staged_at)
-    staged.where("digest is not null").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "none").parquet(f"{path}/chunks")
+    sums = staged.agg(F.sum("size").alias("size"), F.sum("uses").alias("uses")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["size"] or 0) // BUCKET_BYTES))
+    chunks = staged.where("digest is not null").select("digest", "payload", "uses").repartition(buckets, "digest").groupBy("digest").agg(F.first("payload").alias("payload"), F.sum("uses").alias("uses"))
+    name = _name()
+    chunks.write.format("parquet").option("compression", "none").option("path", f"{path}/chunks").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
     recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "digests", "root")
     _number(recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")).write.parquet(f"{path}/recipes")
+    rows, start = [], 0
+    for r in _parts(spark, path):
+        rows.append((r["part"], start, r["n_docs"], r["n_tokens"], bytes(r["root"])))
+        start += r["n_tokens"]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    kind = Encoder(vocabulary, end).kind
+    form = (int(kind[2]), buckets, sums["uses"] or 0, len(rows), merkle([r[4] for r in rows]), data)
+    spark.createDataFrame([form], FORMAT).coalesce(1).write.parquet(f"{path}/format")
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_at)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-    _write_manifest(spark, path)
 
 
-def _write_manifest(spark: SparkSession, path: str) -> None:
-    """One row for each range partition; their number is the number of tasks, so they are summed up on the driver."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+MANIFEST = "part int, start long, n_docs long, n_tokens long, root binary"
+FORMAT = "width int, buckets int, uses long, parts int, root binary, dictionary binary"
+
+
+def _name() -> str:
+    return f"idstore_{uuid.uuid4().hex}"
 
-    def roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, leaves = None, []
+
+def _parts(spark: SparkSession, path: str) -> list:
+    """(part, n_docs, n_tokens, root) of the recipes as they are, in order; raises where places do not follow each other.
+
+    There is one row for each task of the writer, so they may come to the driver.
+    """
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "local_start", "n_tokens", "root")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, leaves, tokens = None, [], 0
+        done: list[tuple] = []
         for batch in batches:
-            for p, root in zip(column(batch, "part").to_pylist(), column(batch, "root").to_pylist(), strict=True):
-                if p != part and leaves:
-                    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([merkle(leaves)], pa.binary())], ["part", "root"])
-                    leaves = []
-                part = p
+            for p, at, n, root in zip(*(column(batch, c).to_pylist() for c in ("part", "local_start", "n_tokens", "root")), strict=True):
+                if p != part:
+                    if leaves:
+                        done.append((part, len(leaves), tokens, merkle(leaves)))
+                    part, leaves, tokens = p, [], 0
+                if at != tokens:
+                    raise ValueError(f"part {p} of the id store: document {len(leaves)} starts at {at}, not at {tokens}")
                 leaves.append(root)
+                tokens += n
         if leaves:
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([merkle(leaves)], pa.binary())], ["part", "root"])
-
-    ordered = recipes.select("part", "row", "root").repartition("part").sortWithinPartitions("part", "row").select("part", "root")
-    sums = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    rows, start = [], 0
-    for r in sorted(sums.join(map_arrow(ordered, roots, "part int, root binary"), "part").collect(), key=lambda r: r["part"]):
-        rows.append((r["part"], start, r["n_docs"], r["n_tokens"], bytes(r["root"])))
+            done.append((part, len(leaves), tokens, merkle(leaves)))
+        kinds = {"part": pa.int32(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary()}
+        yield pa.record_batch([pa.array([d[i] for d in done], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    ordered = recipes.repartition("part").sortWithinPartitions("part", "row")
+    return sorted(map_arrow(ordered, run, "part int, n_docs long, n_tokens long, root binary").collect(), key=lambda r: r["part"])
+
+
+def _verified(spark: SparkSession, path: str):
+    """The store's format, after the manifest and the recipes of all parts were found whole."""
+    form = spark.read.parquet(f"{path}/format").first()
+    manifest = spark.read.parquet(f"{path}/manifest").orderBy("part").collect()
+    if len(manifest) != form["parts"] or merkle([bytes(r["root"]) for r in manifest]) != form["root"]:
+        raise ValueError("the manifest of the id store is damaged")
+    found = {r["part"]: (r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in _parts(spark, path)}
+    start = 0
+    for r in manifest:
+        if r["start"] != start:
+            raise ValueError(f"part {r['part']} of the id store is not where the manifest's parts before it end")
         start += r["n_tokens"]
-    spark.createDataFrame(rows, "part int, start long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+        if found.pop(r["part"], None) != (r["n_docs"], r["n_tokens"], bytes(r["root"])):
+            raise ValueError(f"part {r['part']} of the id store is not what the manifest says")
+    if found:
+        raise ValueError(f"parts {sorted(found)} of the id store are not in the manifest")
+    return form
 
 
-def _streams(spark: SparkSession, path: str) -> DataFrame:
-    """(row, doc_id, local_start, part, root, pos, digest, payload) with the chunks of a document in order within one partition."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    each = recipes.select("row", "doc_id", "part", "local_start", "root", F.posexplode("digests").alias("pos", "digest"))
-    return each.join(chunks, "digest").repartition("row").sortWithinPartitions("row", "pos")
+def _chunks(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The chunks as a bucketed table, registered only while it is looked up."""
+    name = _name()
+    spark.sql(f"CREATE TABLE {name} (digest BINARY, payload BINARY, uses BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/chunks'")
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = False) -> DataFrame:
+def _streams(spark: SparkSession, path: str, form) -> DataFrame:
+    """(row, doc_id, local_start, part, n_tokens, root, pos, digest, payload) with the chunks of a document in order within one partition.
+
+    A payload is null where its chunk is lost.
+    """
+    recipes = spark.read.parquet(f"{path}/recipes")
+    chunks = _chunks(spark, path, form["buckets"])
+    each = recipes.select("row", "doc_id", "part", "local_start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
+    # fewer than HOT chunks can have so many uses, of at most MOST ids each
+    often = chunks.where(F.col("uses") * HOT > form["uses"]).select("digest", "payload")
+    if form["uses"] > HOT and not often.isEmpty():
+        each = each.join(F.broadcast(often), "digest", "left")
+        known = each.where("payload is not null")
+        each = known.unionByName(each.where("payload is null").drop("payload").join(chunks.select("digest", "payload"), "digest", "left"))
+    else:
+        each = each.join(chunks.select("digest", "payload"), "digest", "left")
+    return each.repartition("row").sortWithinPartitions("row", "pos")
+
+
+def read_store(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) reconstructed from the store's files and verified.
 
-    Raises where a chunk is not what its digest says or a document's root differs.
+    Raises where a table lacks a row or a row is not what the digests above it say: for the
+    manifest and the recipes at once, for chunks when the result is computed.
     """
-    kind = spark.read.parquet(f"{path}/recipes").schema["doc_id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["data"]))
+    form = _verified(spark, path)
+    kind, width = spark.read.parquet(f"{path}/recipes").schema["doc_id"].dataType.simpleString(), form["width"]
+    shared = spark.sparkContext.broadcast(bytes(form["dictionary"]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaves, crc, n, parts = None, [], 0, 0, []
@@ -289,8 +379,8 @@ def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = False
 
         def close(rows: list) -> None:
             if now is not None:
-                if merkle(leaves) != now[4]:
-                    raise ValueError(f"document row {now[0]}: the Merkle root differs")
+                if merkle(leaves) != now[5] or n != now[4]:
+                    raise ValueError(f"document row {now[0]} is not what its recipe says")
                 rows.append((now[1], now[2], now[3], n, crc, b"".join(parts)))
 
         def batch_of(rows: list) -> pa.RecordBatch:
@@ -302,11 +392,13 @@ def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = False
         for batch in batches:
             id_type = column(batch, "doc_id").type
             rows: list = []
-            cols = [column(batch, c).to_pylist() for c in ("row", "doc_id", "part", "local_start", "root", "digest", "payload")]
-            for row, doc_id, part, local, root, name, payload in zip(*cols, strict=True):
+            cols = [column(batch, c).to_pylist() for c in ("row", "doc_id", "part", "local_start", "n_tokens", "root", "digest", "payload")]
+            for row, doc_id, part, local, tokens, root, name, payload in zip(*cols, strict=True):
                 if now is None or row != now[0]:
                     close(rows)
-                    now, leaves, crc, n, parts = (row, doc_id, part, local, root), [], 0, 0, []
+                    now, leaves, crc, n, parts = (row, doc_id, part, local, tokens, root), [], 0, 0, []
+                if payload is None:
+                    raise ValueError(f"chunk {name.hex()} is lost")
                 try:
                     payload = unpack(payload)
                 except zstandard.ZstdError:
@@ -326,7 +418,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = False
         if rows:
             yield batch_of(rows)
 
-    got = map_arrow(_streams(spark, path), run, f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    got = map_arrow(_streams(spark, path, form), run, f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
     # the manifest has a row for each task of the writer, so it may be broadcast
     manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("base"))
     return got.join(F.broadcast(manifest), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * ids))

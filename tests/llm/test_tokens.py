@@ -4,8 +4,12 @@ import base64
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +52,25 @@ def test_bpe_fuzz(tik):
         assert enc.decode(ids) == t.encode()
 
 
+def test_piece_tables_over_many_blocks(docs, odd, tik):
+    """Tables that fill and are trimmed or start afresh, block after block, give the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rnd = random.Random(5)
+    alphabet = ["ab", "a", "Z", ".", ",", "'s", " ", " ", "\n", "\t", "1", "é", "!?", "<|endoftext|>", "漢", "\x1c", "\u3000", "\r\n"]
+    texts = [r["text"] or "" for df in (docs, odd) for r in df.collect()] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(50))) for _ in range(2000)]
+    for limit in (1, 60, 2000):
+        one, three = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), idstore.Encoder(P.path("byte_bpe_50k.json"))
+        one.limit = three.limit = limit
+        for lo in range(0, len(texts), 37):
+            own = texts[lo : lo + 37]
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in one.encode(own)] == [tik(t) for t in own]
+            flat, starts = three.streams(own)
+            assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in own]
+        assert one.met[0] < limit + 5_000
+
+
 def test_merge_replay_waits_for_lower_ranks():
     """A merge may make a pair of lower rank, which then goes first in its word, as one word at a time would have it."""
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"ab": 310, b"cd": 290, b"abcd": 280, b"aab": 305}
@@ -99,16 +122,80 @@ def test_store_round_trip(spark, docs, odd, none):
     assert idstore.read_store(spark, path).count() == 0
 
 
+def files(spark, path):
+    """Parquet files of a local store table that hold rows."""
+    found = sorted(Path(path.removeprefix("file://")).glob("*.parquet"))
+    return [(f, pq.read_table(f)) for f in found if pq.read_metadata(f).num_rows]
+
+
 def test_store_finds_damage(spark, docs):
     path = scratch_path(spark, "test-store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts
     idstore.write_store(docs, path)
-    bad = spark.read.parquet(f"{path}/chunks").withColumn("payload", F.concat(F.substring("payload", 3, 10_000_000), F.unhex(F.lit("0102"))))
-    bad.write.parquet(f"{path}/other")
-    for name in ("manifest", "recipes", "dictionary"):
-        spark.read.parquet(f"{path}/{name}").write.parquet(f"{path}/copy/{name}")
-    spark.read.parquet(f"{path}/other").write.parquet(f"{path}/copy/chunks")
-    with pytest.raises(Exception, match="damaged"):
-        idstore.read_store(spark, f"{path}/copy").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert idstore.read_store(spark, path).count() == docs.count()
+
+    def damaged(name, change, message, pick=0):
+        (f, t) = files(spark, f"{path}/{name}")[pick]
+        raw, crc = f.read_bytes(), f.with_name(f".{f.name}.crc")
+        crc.unlink(missing_ok=True)
+        new = change(t)
+        f.unlink() if new is None else pq.write_table(new, f)
+        with pytest.raises(Exception, match=message):
+            idstore.read_store(spark, path).collect()
+        f.write_bytes(raw)
+
+    def bad_payload(t):
+        i = t.column_names.index("payload")
+        return t.set_column(i, "payload", pa.array([p[2:] + b"\1\2" for p in t["payload"].to_pylist()], pa.binary()))
+
+    def shifted(t):
+        i = t.column_names.index("start")
+        return t.set_column(i, t.field(i), pc.add(t["start"], 1))
+
+    damaged("chunks", bad_payload, "damaged")
+    damaged("chunks", lambda t: t.slice(1), "lost")
+    damaged("chunks", lambda t: None, "lost", pick=-1)
+    damaged("recipes", lambda t: t.slice(0, t.num_rows - 1), "not what the manifest says")
+    damaged("recipes", lambda t: t.slice(1), "starts at")
+    damaged("recipes", lambda t: None, "not what the manifest says", pick=1)
+    damaged("manifest", lambda t: t.slice(1), "manifest of the id store is damaged")
+    damaged("manifest", shifted, "not where")
+    assert idstore.read_store(spark, path).count() == docs.count()
+
+
+def test_store_with_hot_chunks_and_wide_ids(spark, monkeypatch, tmp_path):
+    """A passage that all documents share is joined by broadcast; the store knows the width of its ids."""
+    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers.models import BPE
+
+    passage = "shared passage of words that every single document holds " * 40
+    df = spark.createDataFrame([(i, f"own words {i} {i * 7919} " * 30 + passage) for i in range(60)], "doc_id long, text string")
+    path = scratch_path(spark, "test-store")
+    idstore.write_store(df, path)
+    want = expected_store(df)
+    assert sorted((tuple(r) for r in idstore.read_store(spark, path).collect()), key=lambda r: r[1]) == want
+    monkeypatch.setattr(idstore, "HOT", 20)
+    got = idstore.read_store(spark, path)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == want
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    wide = Tokenizer(BPE(vocab={c: i for i, c in enumerate(letters)} | {f"filler{i}": 256 + i for i in range(70_000)}, merges=[]))
+    wide.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    wide.save(str(tmp_path / "wide.json"))
+    path = scratch_path(spark, "test-store")
+    idstore.write_store(df, path, str(tmp_path / "wide.json"))
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in idstore.read_store(spark, path, ids=True).collect()}
+    assert got == {r["doc_id"]: [*wide.encode(r["text"]).ids, 0] for r in df.collect()}
+
+
+def test_store_keeps_the_order_of_string_ids(spark):
+    df = spark.createDataFrame([(f"d{i % 7}", f"text {i}") for i in range(20)] + [(None, "none")], "doc_id string, text string")
+    path = scratch_path(spark, "test-store")
+    idstore.write_store(df, path)
+    got = sorted(idstore.read_store(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, *sorted(f"d{i % 7}" for i in range(20))]
+    assert got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
 
 
 def test_equal_passages_share_chunks():
