@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +35,14 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is read from the session; only where it is unset (local tests) a temporary
-    folder is set for it.
+    It is read from the session; only where it is unset and the master is local (tests) a
+    temporary folder stands for it. On a cluster no machine-local folder is used.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(sc, "_latticelake_scratch", None)
         if root is None:
             root = sc._latticelake_scratch = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="latticelake-shared-"))
@@ -54,6 +58,18 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query that runs in here are deleted when it has ended, rather than when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -62,13 +78,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidied(spark):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._latticelake_path = path
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that nothing reads any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized table once nothing reads it any more."""
-    sc = df.sparkSession.sparkContext
-    for f in df.inputFiles()[:1]:
-        parent = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        parent.getFileSystem(sc._jsc.hadoopConfiguration()).delete(parent, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files behind materialized tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_latticelake_path", None)):
+            remove(df.sparkSession, path)
