@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,20 +91,6 @@ def held(key: object, make: Callable):
     return _HELD[key]
 
 
-class _Numbers(dict):
-    """Numbers keys as they are first met, continuing ``met``'s count; new keys wait in ``fresh``."""
-
-    def __init__(self, met: list[int]):
-        super().__init__()
-        self.met, self.fresh = met, []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = self.met[0]
-        self.met[0] = n + 1
-        self.fresh.append(key)
-        return n
-
-
 def _spread(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``pool`` that begin ``at``, one behind the other, and where each ends; beyond the pool its last entry stands."""
     ends = np.cumsum(size)
@@ -112,13 +99,62 @@ def _spread(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return pool.take(np.repeat(at - (ends - size), size) + np.arange(ends[-1]), mode="clip"), ends
 
 
+class _Table:
+    """Numbers of pieces by the 128-bit hash of their text, in sorted arrays that are searched for many pieces at once.
+
+    Texts whose hashes share the first half are told apart by the second; such a piece
+    is at worst numbered again.
+    """
+
+    def __init__(self):
+        self.first, self.second, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        #: The number that the next new piece gets; 0 is none's.
+        self.met = 1
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def numbers(self, pieces: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each of the pieces, all different; places of those that are new)."""
+        n = len(pieces)
+        key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, seed) for p in pieces]), "<u8").reshape(n, 2)
+        order = np.argsort(key[:, 0])
+        one, two = key[order, 0], key[order, 1]
+        at = np.searchsorted(self.first, one)
+        found = np.full(n, -1, np.int64)
+        if len(self.first):
+            near = np.minimum(at, len(self.first) - 1)
+            hit = (self.first[near] == one) & (self.second[near] == two)
+            found[order[hit]] = self.number[near[hit]]
+        new = np.flatnonzero(found < 0)
+        found[new] = self.met + np.arange(len(new))
+        self.met += len(new)
+        late = found[order] >= self.met - len(new)
+        self.first, self.second = np.insert(self.first, at[late], one[late]), np.insert(self.second, at[late], two[late])
+        self.number = np.insert(self.number, at[late], found[order[late]])
+        return found, new
+
+    def spare(self) -> int:
+        """A number that belongs to no piece."""
+        self.met += 1
+        return self.met - 1
+
+    def keep(self, numbers: np.ndarray) -> np.ndarray:
+        """Forget all other pieces; the numbers that remain, in the order that numbers them anew from 1."""
+        own = np.isin(self.number, numbers)
+        self.first, self.second, old = self.first[own], self.second[own], self.number[own]
+        self.number = np.arange(1, len(old) + 1)
+        self.met = len(old) + 1
+        return old
+
+
 class PieceStreams:
     """Id streams of blocks of texts: a piece is a number, the ids of all pieces lie in one pool.
 
     Texts are cut and their distinct pieces found by Arrow; a piece is split into words by the
     tokenizer pattern once, and a subclass tells the ids of the words; when the table is full,
-    pieces met in one block only leave it. A piece of letters and one sign is the piece of the letters and the sign's
-    ids. Streams are gathered from the pool with arrays.
+    pieces met in one block only leave it. A piece of letters and one sign is the piece of the
+    letters and the sign's ids. Streams are gathered from the pool with arrays.
     """
 
     def __init__(self, pattern: str, kind: str, limit: int, end: int | None = None):
@@ -133,8 +169,7 @@ class PieceStreams:
         self._reset()
 
     def _reset(self) -> None:
-        self.met = [1]
-        self.rest, self.heads = _Numbers(self.met), _Numbers(self.met)
+        self.table = _Table()
         # entry 0 closes a stream
         self.pool = np.array([] if self.end is None else [self.end], self.kind)
         self.at, self.size = np.zeros(1, np.int64), np.array([len(self.pool)], np.int64)
@@ -142,23 +177,15 @@ class PieceStreams:
 
     def _trim(self) -> None:
         """Keep the pieces that were met in a later block again; of a table of such alone, nothing."""
-        n = self.met[0]
-        keep = np.flatnonzero(np.append(self.again, np.zeros(max(0, n - len(self.again)), bool))[1:n]) + 1
-        if len(keep) > self.limit // 2:
+        seen = np.flatnonzero(self.again)
+        if len(seen) > self.limit // 2:
             self._reset()
             return
-        keep = np.concatenate([[0], keep])
-        renumbered = np.full(n, -1, np.int64)
-        renumbered[keep] = np.arange(len(keep))
-        self.met[0] = len(keep)
-        for numbers in (self.rest, self.heads):
-            found = [(p, m) for p, m in zip(numbers, renumbered[list(numbers.values())].tolist(), strict=True) if m > 0]
-            numbers.clear()
-            numbers.update(found)
-        self.pool, ends = _spread(self.pool, self.at[keep], self.size[keep])
-        self.size = self.size[keep]
+        old = np.concatenate([[0], self.table.keep(seen)])
+        self.size = self.size[old]
+        self.pool, ends = _spread(self.pool, self.at[old], self.size)
         self.at = ends - self.size
-        self.again = np.zeros(len(keep), bool)
+        self.again = np.zeros(len(old), bool)
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size) of words, each one match of the pattern."""
@@ -168,81 +195,80 @@ class PieceStreams:
         """The ids of those texts that cannot be cut into pieces, by their place."""
         return {}
 
-    def _add(self, numbers: list[int], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """Pieces of these numbers have the ids from ``start`` on."""
-        if len(self.at) < self.met[0]:
-            more = max(self.met[0], len(self.at) * 3 // 2) - len(self.at)
+        if len(self.at) < self.table.met:
+            more = max(self.table.met, len(self.at) * 3 // 2) - len(self.at)
             self.at, self.size = np.append(self.at, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
+            self.again = np.append(self.again, np.zeros(more, bool))
         self.at[numbers], self.size[numbers] = start + len(self.pool), size
         self.pool = np.concatenate([self.pool, ids])
 
     def _split(self, numbers: list[int], parts: list[str]) -> None:
         """Learn pieces, given with what stands before them, by the pattern."""
-        # letters alone are one match of the pattern
-        words = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.split(p) for p in parts]
+        words = [self.split(p) for p in parts]
         table: dict[str, int] = {}
         order = np.array([table.setdefault(w, len(table)) for ws in words for w in ws], np.int64)
         pool, at, size = self.word_ids(list(table))
         ids, ends = _spread(pool, at[order], size[order])
         stop = np.concatenate([[0], ends])[np.cumsum([len(ws) for ws in words])]
         start = np.concatenate([[0], stop[:-1]])
-        self._add(numbers, ids, start, stop - start)
-
-    def _learn(self) -> None:
-        """Learn the fresh pieces: heads as they are, others with the space or line end before them."""
-        fresh, self.heads.fresh = self.heads.fresh, []
-        numbers, parts = [self.heads[p] for p in fresh], fresh
-        fresh, self.rest.fresh = self.rest.fresh, []
-        letters: list[str] = []
-        signed: dict[str, tuple[list[int], list[int]]] = {c: ([], []) for c in self.signs}
-        for p in fresh:
+        self._add(np.array(numbers, np.int64), ids, start, stop - start)
+
+    def _learn(self, rest: list[tuple[int, str]], heads: list[tuple[int, str]]) -> None:
+        """Learn new pieces: heads as they are, others with the space or line end before them."""
+        numbers, parts = [n for n, _ in heads], [p for _, p in heads]
+        letters: list[tuple[int, str]] = []
+        signed: dict[str, tuple[list[int], list[str]]] = {c: ([], []) for c in self.signs}
+        for n, p in rest:
             if p.isalpha():
-                letters.append(p)
+                letters.append((n, p))
             elif p[-1] in signed and p[:-1].isalpha():
                 own, of = signed[p[-1]]
-                own.append(self.rest[p])
-                of.append(self.rest[p[:-1]])
+                own.append(n)
+                of.append(p[:-1])
             else:
-                numbers.append(self.rest[p])
+                numbers.append(n)
                 parts.append(p if p[0] == "\n" else " " + p)
-        letters += self.rest.fresh
-        self.rest.fresh = []
-        numbers += [self.rest[p] for p in letters]
-        parts += [" " + p for p in letters]
+        bases = list(dict.fromkeys(p for _, of in signed.values() for p in of))
+        known, new = self.table.numbers(bases, 0)
+        letters += [(int(known[i]), bases[i]) for i in new.tolist()]
+        if letters:  # letters alone are one match of the pattern
+            self._add(np.array([n for n, _ in letters], np.int64), *self.word_ids([" " + p for _, p in letters]))
         if parts:
             self._split(numbers, parts)
+        base = dict(zip(bases, known.tolist(), strict=True))
         for sign, (own, of) in signed.items():
             if own:
-                last = self._split_sign(sign)
-                size = self.size[of] + len(last)
-                ids, ends = _spread(self.pool, self.at[of], size)  # with room for the sign behind each
+                ids, start, n = self.word_ids([sign])
+                last = ids[int(start[0]) : int(start[0] + n[0])]
+                under = np.array([base[p] for p in of], np.int64)
+                size = self.size[under] + len(last)
+                ids, ends = _spread(self.pool, self.at[under], size)  # with room for the sign behind each
                 for j, x in enumerate(last):
                     ids[ends - len(last) + j] = x
-                self._add(own, ids, ends - size, size)
-
-    def _split_sign(self, sign: str) -> np.ndarray:
-        ids, start, size = self.word_ids([sign])
-        return ids[int(start[0]) : int(start[0] + size[0])]
+                self._add(np.array(own, np.int64), ids, ends - size, size)
 
     def streams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The streams of one block, one behind the other; where each starts, and the end of all."""
-        if self.met[0] > self.limit:
+        if len(self.table) > self.limit:
             self._trim()
-        before = self.met[0]
         own = self.whole(texts)
         flat, n, heads = cut_pieces(["" if i in own else t for i, t in enumerate(texts)])
         coded = flat.dictionary_encode()
-        differ = np.array([self.rest[p] for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)
-        numbers = differ[coded.indices.to_numpy()]
-        first = [self.heads[h] for h in heads]
-        if len(self.again) < before:
-            self.again = np.append(self.again, np.zeros(before - len(self.again), bool))
-        self.again[differ[differ < before]] = True
-        self._learn()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        differ = list(dict.fromkeys(heads))
+        before = self.table.met
+        rest, new = self.table.numbers(words, 0)
+        led, fresh = self.table.numbers(differ, 1)
+        self._learn([(int(rest[i]), words[i]) for i in new.tolist()], [(int(led[i]), differ[i]) for i in fresh.tolist()])
+        self.again[rest[rest < before]] = self.again[led[led < before]] = True
+        numbers = rest[coded.indices.to_numpy()]
+        led = dict(zip(differ, led.tolist(), strict=True))
+        first = [led[h] for h in heads]
         for i, ids in own.items():
-            first[i] = self.met[0]
-            self.met[0] += 1
-            self._add([first[i]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+            first[i] = self.table.spare()
+            self._add(np.array([first[i]]), ids, np.zeros(1, np.int64), np.array([len(ids)]))
         # each text: its head, its other pieces, entry 0
         close = np.cumsum(n + 2) - 1
         open_ = close - n - 1

@@ -48,13 +48,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticelake.llm.common import PieceStreams, blocks, column, documents, held, map_arrow, table, texts_of
-from latticelake.session import scratch_path
+from latticelake.session import remove, scratch_path, tidied
 
 #: The id put behind each document.
 END = 0
 #: Chunk sizes in ids: least, one in MEAN positions ends a chunk, most.
 LEAST, MEAN, MOST = 64, 256, 2048
-CACHE = 800_000
+CACHE = 2_000_000
 #: Pieces that are encoded in one call of the library.
 TOGETHER = 2_000
 #: The compression dictionary: documents whose chunks it may learn from, chunks it learns from, its bytes.
@@ -256,16 +256,20 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     data = _dictionary(docs, vocabulary, end)
     # payloads are compressed already
-    _stage(docs, vocabulary, end, data).write.option("compression", "none").parquet(staged_at)
+    with tidied(spark):
+        _stage(docs, vocabulary, end, data).write.option("compression", "none").parquet(staged_at)
     staged = spark.read.parquet(staged_at)
     sums = staged.agg(F.sum("size").alias("size"), F.sum("uses").alias("uses")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["size"] or 0) // BUCKET_BYTES))
     chunks = staged.where("digest is not null").select("digest", "payload", "uses").repartition(buckets, "digest").groupBy("digest").agg(F.first("payload").alias("payload"), F.sum("uses").alias("uses"))
     name = _name()
-    chunks.write.format("parquet").option("compression", "none").option("path", f"{path}/chunks").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+    with tidied(spark):
+        chunks.write.format("parquet").option("compression", "none").option("path", f"{path}/chunks").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
     recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "digests", "root")
-    _number(recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")).write.parquet(f"{path}/recipes")
+    with tidied(spark):
+        _number(recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")).write.parquet(f"{path}/recipes")
+    remove(spark, staged_at)
     rows, start = [], 0
     for r in _parts(spark, path):
         rows.append((r["part"], start, r["n_docs"], r["n_tokens"], bytes(r["root"])))
@@ -274,8 +278,6 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     kind = Encoder(vocabulary, end).kind
     form = (int(kind[2]), buckets, sums["uses"] or 0, len(rows), merkle([r[4] for r in rows]), data)
     spark.createDataFrame([form], FORMAT).coalesce(1).write.parquet(f"{path}/format")
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_at)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 MANIFEST = "part int, start long, n_docs long, n_tokens long, root binary"
@@ -374,49 +376,53 @@ def read_store(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(bytes(form["dictionary"]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaves, crc, n, parts = None, [], 0, 0, []
         unpack = _codec(shared.value, zstandard.ZstdDecompressor).decompress
+        now, leaves, parts = None, [], []
 
-        def close(rows: list) -> None:
-            if now is not None:
-                if merkle(leaves) != now[5] or n != now[4]:
-                    raise ValueError(f"document row {now[0]} is not what its recipe says")
-                rows.append((now[1], now[2], now[3], n, crc, b"".join(parts)))
+        def close(done: list) -> None:
+            row, doc_id, part, local, tokens, root = now
+            stream = np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4").tobytes()
+            if merkle(leaves) != root or len(stream) != 4 * tokens:
+                raise ValueError(f"document row {row} is not what its recipe says")
+            done.append((doc_id, part, local, tokens, zlib.crc32(stream), stream))
 
-        def batch_of(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
+        def batch_of(done: list, id_type: pa.DataType) -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True))
             made = [pa.array(cols[0], id_type), *(pa.array(c, t) for c, t in zip(cols[1:5], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
             names = ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"]
             return pa.record_batch(made + [pa.array(cols[5], pa.binary())] * ids, names + ["ids"] * ids)
 
+        id_type = None
         for batch in batches:
             id_type = column(batch, "doc_id").type
-            rows: list = []
-            cols = [column(batch, c).to_pylist() for c in ("row", "doc_id", "part", "local_start", "n_tokens", "root", "digest", "payload")]
-            for row, doc_id, part, local, tokens, root, name, payload in zip(*cols, strict=True):
-                if now is None or row != now[0]:
-                    close(rows)
-                    now, leaves, crc, n, parts = (row, doc_id, part, local, tokens, root), [], 0, 0, []
-                if payload is None:
-                    raise ValueError(f"chunk {name.hex()} is lost")
-                try:
-                    payload = unpack(payload)
-                except zstandard.ZstdError:
-                    payload = b""
-                if digest(payload) != name:
-                    raise ValueError(f"chunk {name.hex()} is damaged")
-                leaves.append(name)
-                wide = np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()
-                crc = zlib.crc32(wide, crc)
-                n += len(wide) // 4
-                if ids:
-                    parts.append(wide)
-            if rows:
-                yield batch_of(rows)
-        rows = []
-        close(rows)
-        if rows:
-            yield batch_of(rows)
+            done: list = []
+            rows = column(batch, "row").to_numpy()
+            own = [column(batch, c) for c in ("row", "doc_id", "part", "local_start", "n_tokens", "root")]
+            names, payloads = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("digest", "payload"))
+            turns = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1, [len(rows)]]).tolist()
+            for lo, hi in zip(turns, turns[1:], strict=False):
+                if lo == hi:
+                    continue
+                if now is None or rows[lo] != now[0]:
+                    if now is not None:
+                        close(done)
+                    now, leaves, parts = tuple(c[lo].as_py() for c in own), [], []
+                for name, payload in zip(names[lo:hi], payloads[lo:hi], strict=True):
+                    if payload is None:
+                        raise ValueError(f"chunk {name.hex()} is lost")
+                    try:
+                        payload = unpack(payload)
+                    except zstandard.ZstdError:
+                        payload = b""
+                    if digest(payload) != name:
+                        raise ValueError(f"chunk {name.hex()} is damaged")
+                    leaves.append(name)
+                    parts.append(payload)
+            if done:
+                yield batch_of(done, id_type)
+        if now is not None:
+            close(done := [])
+            yield batch_of(done, id_type)
 
     got = map_arrow(_streams(spark, path, form), run, f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
     # the manifest has a row for each task of the writer, so it may be broadcast
