@@ -1,31 +1,35 @@
 """Operator 6 - near-duplicate detection by order MinHash.
 
-Each text's occurrence-labelled k-mers of K words give SKETCHES sketches, each the hash
-of its KEPT least k-mers in the order of the text; texts whose sketches agree in at least
-AGREE places are candidates, and a banded alignment of their k-mers decides: a share of
-SIMILARITY aligned in order makes a link. Classes are the components of the links.
+Each text's occurrence-labelled shingles of K words give SKETCHES sketches, each the hash
+of its KEPT least shingles in the order of the text; texts that share a sketch are
+candidates, and a banded alignment of their words decides: where the best in-order
+alignment matches a share of SIMILARITY of the longer text's words, there is a link.
+Classes are the components of the links.
 
-1. One pass reads the texts and keeps a 128-bit key (of the k-mers) and the sketches;
+1. One pass reads the texts and keeps a 128-bit key (of the words) and the sketches;
    documents of equal keys are one node from here on, however many copies there are.
-2. Sketch values met by several nodes join each node to the least key among them: a star,
+2. Sketch values met by several nodes join each node to the least among them: a star,
    linear in rows. Components of these stars are candidate groups.
-3. A group of up to GROUP_NODES nodes is settled within one task, exactly: agreement counts
-   in blocks, then alignments between pairs that are not in one class yet. Only nodes of
-   such groups have their text read again; their keys are broadcast when they were counted
-   to be at most BROADCAST_KEYS, and joined by a shuffle otherwise.
-4. A larger group is settled by distributed joins: in a few rounds each bucket's leader is
-   compared to the members outside its class; what is then outside the group's largest
-   class is compared to all others that agree, in blocks. No task holds such a group, and
-   the links lost are none: both ways give the same classes.
+3. A group of up to GROUP_NODES nodes and GROUP_WORDS words is settled within one task,
+   exactly: all pairs that share a sketch and are not in one class yet are aligned. Only
+   nodes of groups have their text read again; what is joined for that is broadcast when
+   counted to be at most BROADCAST_NODES, and joined by a shuffle otherwise.
+4. A larger group is settled by distributed joins: in a few rounds each node outside the
+   class of some bucket's leader is compared to one such leader; then the nodes outside the
+   group's largest class are compared to all of other classes that share a sketch with
+   them. No task holds such a group, and both ways give the same classes: the components of
+   all links among candidates.
 
 Result: one row for each document with its class id (the least doc_id of the class), the
-links of its text to different texts that were aligned (at least one for every text that
-has any), and the documents of its class.
+documents of its class, and the class key: the MD5 of the text of the class's least row (by
+doc_id, nulls last, then MD5), which tells classes apart where ids repeat.
 
 Defined results: null and empty texts are each alone in their class (class_id is their
-doc_id); texts without words are duplicates only of the same text; repeated rows fall in
-one class; a null doc_id is kept as a row, its class id is the least id there is, or null;
-columns other than doc_id and text are ignored; an empty table gives no rows.
+doc_id, class_key null); texts without words are duplicates only of the same text; rows that
+repeat an id or have none are rows like others, told apart by their text; a null doc_id gets
+the least id of its class, or null; columns other than doc_id and text are ignored; an empty
+table gives no rows. ``keep_first`` keeps each class's least row, one where it is repeated,
+all null and empty texts, and all columns.
 """
 
 from __future__ import annotations
@@ -39,141 +43,148 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticelake.llm.common import Memo, column, held, map_arrow, table, texts_of
-from latticelake.llm.orderhash import SIMILARITY, SKETCHES, alignment, kmers, sketches, word_hash
-from latticelake.session import materialize
-
-#: Sketches of two texts that must agree before they are aligned.
-AGREE = 3
-#: Nodes of a candidate group that one task settles; larger groups are settled in rounds.
-GROUP_NODES = 16_000
-#: Rounds of comparisons with bucket leaders in larger groups; nodes of a block of queries behind them.
-ROUNDS, QUERY_NODES = 3, 2_000
-#: Keys that may be broadcast (16 bytes each).
-BROADCAST_KEYS = 250_000
+from latticelake.llm.orderhash import SIMILARITY, SKETCHES, alignment, kmers, sketches, word_hash, words
+from latticelake.session import discard, materialize
+
+#: Nodes and words of a candidate group that one task settles; larger groups are settled in rounds.
+GROUP_NODES, GROUP_WORDS = 4_000, 8_000_000
+#: Rounds of comparisons with bucket leaders in larger groups.
+ROUNDS = 3
+#: Nodes (or rows to take out) that may be broadcast, some 100 bytes each.
+BROADCAST_NODES = 250_000
+#: A node with more than one in so many of all edges is a hub; there are fewer hubs than that.
+HUBS = 10_000
 CACHE = 200_000
 
 
-def node_key(g: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(g.tobytes())
+def node_key(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sketches); the key is null where there is no text."""
+    """(doc_id, own, key, n_words, sketches); ``own`` is the MD5 of the text, the key is null where there is no text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = held("neardup", lambda: Memo(word_hash, CACHE))
         for batch in batches:
-            g = [kmers(t, memo) for t in texts_of(batch)]
+            h = [words(t, memo) for t in texts_of(batch)]
+            marks = [sketches(kmers(x)) for x in h]
             yield pa.record_batch(
-                [column(batch, "doc_id"), pa.array([node_key(x) if len(x) else None for x in g], pa.binary()), pa.array([sketches(x) for x in g], pa.list_(pa.int64()))],
-                ["doc_id", "key", "sketches"],
+                [
+                    column(batch, "doc_id"), column(batch, "own"), pa.array([node_key(x) if len(x) else None for x in h], pa.binary()),
+                    pa.array([len(x) for x in h], pa.int64()), pa.array(marks, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "own", "key", "n_words", "sketches"],
             )
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, key binary, sketches array<long>")
+    return map_arrow(docs.select("doc_id", "text", F.md5("text").alias("own")), run, f"doc_id {kind}, own string, key binary, n_words long, sketches array<long>")
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b, m): the edges with the least b of their a.
+
+    Hubs' minima are broadcast, fewer than HUBS rows as each has more than one in HUBS of
+    all ``total`` edges; no other node has enough edges to make a task hot.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hubs = low.where(F.col("n") * HUBS > total).select("a", F.col("m").alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "a", "left")
+    rest = low.where(F.col("n") * HUBS <= total).select("a", "m")
+    return marked.where("hub is not null").select("a", "b", F.col("hub").alias("m")).unionByName(marked.where("hub is null").drop("hub").join(rest, "a"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b), root the least of its component.
 
-    Alternating large-star and small-star steps, each a join on one side's least
-    neighbour, until the edges are the stars around the roots.
+    Alternating large-star and small-star steps, each a join with the least neighbour,
+    until the edges are the stars around the roots.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = None
     while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(new, "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if sign == now:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         sign = now
-
-
-def _settle(rows: list[tuple[bytes, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes, int]]:
-    """(key, least key of its class, links found) of the nodes of one candidate group."""
-    n = len(rows)
-    keys, seqs = [r[0] for r in rows], [r[1] for r in rows]
-    marks = np.array([sketches(s) for s in seqs])
-    parent, links = list(range(n)), [0] * n
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    step = max(1, min(512, 40_000_000 // (n * SKETCHES)))
+        large = _with_least(edges.union(edges.select("b", "a")), 2 * now["n"]).where("b > a")
+        large = materialize(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct(), "edges")
+        small = _with_least(large, large.count())
+        new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
+        after = materialize(new, "edges")
+        discard(edges, large)
+        edges = after
+
+
+def _settle(nodes: list[int], seqs: list[np.ndarray], similarity: float) -> list[int]:
+    """For each node of one candidate group the least node of its class."""
+    n = len(nodes)
+    marks = np.array([sketches(kmers(s)) for s in seqs])
+    size = np.array([len(s) for s in seqs])
+    label = np.arange(n)
+    step = max(1, min(512, 40_000_000 // n))
     for lo in range(0, n, step):
         agree = np.zeros((min(step, n - lo), n), np.int8)
         for j in range(SKETCHES):
             agree += marks[lo : lo + step, j, None] == marks[None, :, j]
-        x, y = np.nonzero(agree >= AGREE)
-        late = y > x + lo
-        x, y = x[late], y[late]
-        order = np.argsort(-agree[x, y], kind="stable")
-        for i, k in zip((x[order] + lo).tolist(), y[order].tolist(), strict=True):
-            a, b = root(i), root(k)
-            if a != b and alignment(seqs[i], seqs[k], similarity) >= similarity:
-                links[i] += 1
-                links[k] += 1
-                parent[b] = a
-    least: dict[int, bytes] = {}
-    for i, k in enumerate(keys):
-        r = root(i)
-        least[r] = min(least.get(r, k), k)
-    return [(k, least[root(i)], links[i]) for i, k in enumerate(keys)]
+        for i in range(lo, min(lo + step, n)):
+            own = agree[i - lo]
+            # texts of too different lengths cannot align
+            may = np.flatnonzero((own > 0) & (label != label[i]) & (np.arange(n) > i) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])))
+            for k in may[np.argsort(-own[may], kind="stable")].tolist():
+                if label[k] != label[i] and alignment(seqs[i], seqs[k], similarity) >= similarity:
+                    label[label == label[k]] = label[i]
+    least: dict[int, int] = {}
+    for node, c in zip(nodes, label.tolist(), strict=True):
+        least[c] = min(least.get(c, node), node)
+    return [least[c] for c in label.tolist()]
 
 
 def _read_again(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """(grp, key, kmers) of the nodes (grp, key, rep), from the text of document ``rep``."""
-    if count <= BROADCAST_KEYS:
-        nodes = F.broadcast(nodes)
-    kind = nodes.schema["grp"].dataType.simpleString()
+    """(grp, node, words) of the nodes (grp, node, rep), from the text of the row ``rep``."""
+    wanted = nodes.select("grp", "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.own").alias("rep_own"))
+    if count <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = held("neardup", lambda: Memo(word_hash, CACHE))
+        done: set[int] = set()  # rows may be repeated
         for batch in batches:
-            g = [kmers(t, memo) for t in texts_of(batch)]
-            # documents that share a doc_id differ in their key
-            own = [i for i, (x, k) in enumerate(zip(g, column(batch, "key").to_pylist(), strict=True)) if len(x) and node_key(x) == k]
-            take = pa.array(own, pa.int64())
-            yield pa.record_batch([column(batch, "grp").take(take), column(batch, "key").take(take), pa.array([g[i].tobytes() for i in own], pa.binary())], ["grp", "key", "kmers"])
+            found = [(i, n) for i, n in enumerate(column(batch, "node").to_pylist()) if not (n in done or done.add(n))]
+            take = pa.array([i for i, _ in found], pa.int64())
+            texts = column(batch, "text").take(take).to_pylist()
+            yield pa.record_batch([column(batch, "grp").take(take), column(batch, "node").take(take), pa.array([words(t, memo).tobytes() for t in texts], pa.binary())], ["grp", "node", "words"])
 
-    joined = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("rep")).select("grp", "key", "text")
-    return map_arrow(joined, run, f"grp {kind}, key binary, kmers binary")
+    own = docs.select("doc_id", "text", F.md5("text").alias("own"))
+    joined = own.join(wanted, (F.col("own") == F.col("rep_own")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("grp", "node", "text")
+    return map_arrow(joined, run, "grp long, node long, words binary")
 
 
 def _settle_groups(found: DataFrame, similarity: float) -> DataFrame:
-    """(key, root, links): groups are streamed in order, one of at most GROUP_NODES nodes in memory."""
+    """(node, root): groups are streamed in order, one in memory."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, {}
 
         def close() -> pa.RecordBatch:
-            out = _settle(list(rows.items()), similarity)
-            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["key", "root", "links"])
+            roots = _settle(list(rows), list(rows.values()), similarity)
+            return pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(roots, pa.int64())], ["node", "root"])
 
         for batch in batches:
-            for grp, key, raw in zip(*(column(batch, c).to_pylist() for c in ("grp", "key", "kmers")), strict=True):
+            for grp, node, raw in zip(*(column(batch, c).to_pylist() for c in ("grp", "node", "words")), strict=True):
                 if grp != now:
                     if rows:
                         yield close()
                     now, rows = grp, {}
-                rows[key] = np.frombuffer(raw, np.uint64)
+                rows[node] = np.frombuffer(raw, np.uint64)
         if rows:
             yield close()
 
-    return map_arrow(found.repartition("grp").sortWithinPartitions("grp", "key"), run, "key binary, root binary, links long")
+    return map_arrow(found.repartition("grp").sortWithinPartitions("grp", "node"), run, "node long, root long")
 
 
 def _aligned(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that the alignment of their k-mers links."""
+    """The pairs (a, b) that the alignment of their words links."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,113 +192,87 @@ def _aligned(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
             keep = [alignment(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) >= similarity for x, y in zip(*cols, strict=True)]
             yield pa.record_batch([column(batch, c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    both = pairs.join(seqs.select(F.col("key").alias("a"), F.col("kmers").alias("x")), "a").join(seqs.select(F.col("key").alias("b"), F.col("kmers").alias("y")), "b")
-    return map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
-
+    # texts of too different lengths cannot align and are not fetched
+    size = seqs.select("node", F.length("words").alias("n"))
+    pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(size.select(F.col("node").alias("b"), "n"), "b")
+    pairs = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b")
+    both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(seqs.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, root, links) of every node that has a link."""
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
-    return materialize(components(links).join(degree, F.col("node") == F.col("a"), "left").select("node", "root", "links"), "labels")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` with their class so far and the links of their node."""
-    root, links = F.coalesce("root", "key").alias("c"), F.coalesce("links", F.lit(0).cast("long")).alias("links")
-    return rows.join(labels, F.col("key") == F.col("node"), "left").select(*rows.columns, root, links)
 
+def _settle_in_rounds(seqs: DataFrame, group: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of groups beyond one task, from (node, words), (node, grp) and (bucket, node)."""
+    spark = seqs.sparkSession
+    members = materialize(members, "members")
+    nodes = materialize(group.select("node", "grp"), "large-nodes")
+    labels = nodes.select("node", F.col("node").alias("c"))
+    links = tested = spark.createDataFrame([], "a long, b long")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(links, pairs tested, labels) after these pairs."""
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        all_links = links.union(materialize(_aligned(pairs, seqs, similarity), "links"))
+        root = components(all_links)
+        new = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("c"))
+        return all_links, tested.union(pairs), materialize(new, "labels")
+
+    pair = (F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b"))
+    for turn in range(ROUNDS):
+        own = members.join(labels, "node")
+        # another leader each round, the same for most buckets of a class
+        order = F.xxhash64("node", F.lit(turn))
+        lead = materialize(own.groupBy("bucket").agg(F.max_by(F.struct("node", "c"), F.struct(order, "node")).alias("l")).select("bucket", F.col("l.node").alias("lead"), F.col("l.c").alias("of")), "leaders")
+        met = own.join(lead, "bucket").where("c <> of").groupBy("node", "lead").agg(F.count("*").alias("n"))
+        best = met.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+        links, tested, labels = linked(best.select(*pair).distinct())
+        discard(lead)
+    classed = materialize(nodes.join(labels, "node"), "classed")
+    main = classed.groupBy("grp", "c").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    strays = materialize(members.join(classed.join(main, "grp").where("c <> main").select("node", "c"), "node").select("bucket", F.col("node").alias("lead"), F.col("c").alias("of")), "strays")
+    others = materialize(members.join(classed.select("node", "c"), "node"), "others")
+    left = others.join(strays, "bucket").where("c <> of").select(*pair).distinct()
+    links, tested, labels = linked(left)
+    return labels.select("node", F.col("c").alias("root"))
 
-def _strays(classed: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches agree enough, of nodes outside their group's largest class with nodes of other classes.
 
-    Every pair across classes has such a node. They are taken as a query set against all
-    nodes of the large groups, in blocks of QUERY_NODES; only agreeing pairs are emitted.
-    """
-    main = classed.groupBy("grp", "c").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    strays = materialize(classed.join(main, "grp").where("c <> main").select("grp", "key", "c", "sketches"), "strays")
-    blocks = -(-strays.count() // QUERY_NODES)
-    out = None
-    for i in range(blocks):
-        rows = strays.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()
-        shared = classed.sparkSession.sparkContext.broadcast(
-            ([r["grp"] for r in rows], [bytes(r["key"]) for r in rows], [bytes(r["c"]) for r in rows], np.array([r["sketches"] for r in rows], np.int64).reshape(-1, SKETCHES))
-        )
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            grps, keys, roots, marks = shared.value
-            for batch in batches:
-                a, b = [], []
-                for grp, key, c, own in zip(*(column(batch, n).to_pylist() for n in ("grp", "key", "c", "sketches")), strict=True):
-                    for j in np.flatnonzero((marks == np.array(own, np.int64)).sum(1) >= AGREE).tolist():
-                        if grps[j] == grp and roots[j] != c:
-                            a.append(max(key, keys[j]))
-                            b.append(min(key, keys[j]))
-                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-        found = materialize(map_arrow(classed.select("grp", "key", "c", "sketches"), run, "a binary, b binary"), "stray-pairs")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _settle_in_rounds(seqs: DataFrame, sketched: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """(key, root, links) of groups beyond one task, from (key, kmers), (grp, key, sketches) and (bucket, key).
-
-    In ROUNDS rounds each bucket's leader - first the least key, then the one with most
-    links - is compared to the members outside its class: a comparison for each member at
-    most. What is then outside a group's largest class is compared exactly (``_strays``).
-    """
-    members = materialize(members, "members")
-    labels = members.sparkSession.createDataFrame([], "node binary, root binary, links long")
-    links = tested = led = None
-    for _ in range(ROUNDS):
-        own = _labelled(members, labels)
-        may = own if led is None else own.join(led, ["bucket", "key"], "left_anti")
-        lead = materialize(may.groupBy("bucket").agg(F.max_by(F.struct("key", "c"), F.struct("links", F.hash("key"), "key")).alias("lead")), "lead")
-        pairs = own.join(lead, "bucket").where("c <> lead.c").select(F.greatest("key", F.col("lead.key")).alias("a"), F.least("key", F.col("lead.key")).alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        new = materialize(_aligned(pairs, seqs, similarity), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        used = lead.select("bucket", F.col("lead.key").alias("key"))
-        led = used if led is None else led.union(used)
-        links = new if links is None else links.union(new)
-        labels = _labels(links)
-    pairs = _strays(materialize(_labelled(sketched, labels), "classed"))
-    if pairs is not None:
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        labels = _labels(links.union(materialize(_aligned(pairs, seqs, similarity), "links")))
-    return _labelled(seqs.select("key"), labels).select("key", F.col("c").alias("root"), "links")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, group_nodes: int = GROUP_NODES) -> DataFrame:
-    """(doc_id, class_id, n_links, class_size) of every document."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, similarity: float, group_nodes: int, group_words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, own, key, ...) and the class (key, rep, class_id, class_size) of each key; ``rep`` is the class's least row."""
     sketched = materialize(_sketched(docs), "sketched")
-    nodes = materialize(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("sketches").alias("sketches")), "nodes")
-    each = nodes.select("key", F.explode("sketches").alias("bucket"))
-    met = each.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("bucket", "least")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    nodes = sketched.where("key is not null").groupBy("key").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.any_value("n_words").alias("n_words"), F.any_value("sketches").alias("sketches"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("node", F.explode("sketches").alias("bucket"))
+    # written, so that a common bucket is a skewed join's and split
+    met = materialize(each.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket", "least"), "met")
     members = materialize(each.join(met, "bucket"), "buckets")
-    group = components(members.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    group = materialize(group.select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
-    count = group.count()
-    large = group.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > group_nodes).select("grp")
-    wanted = group.join(nodes.select("key", "rep"), "key").select("grp", "key", "rep")
-    found = materialize(_read_again(docs, wanted, count), "kmers")
+    group = components(members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    group = materialize(group.select("node", F.col("root").alias("grp")), "groups")
+    sized = group.join(nodes.select("node", "rep", "n_words"), "node")
+    large = sized.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_words").alias("w")).where((F.col("n") > group_nodes) | (F.col("w") > group_words)).select("grp")
+    large = materialize(large, "large-groups")
+    found = materialize(_read_again(docs, sized.select("grp", "node", "rep"), group.count()), "words")
     settled = _settle_groups(found.join(large, "grp", "left_anti"), similarity)
+    seqs = None
     if not large.isEmpty():
-        big = materialize(found.join(large, "grp", "left_semi").select("key", "kmers").groupBy("key").agg(F.any_value("kmers").alias("kmers")), "large")
-        marks = group.join(large, "grp", "left_semi").join(nodes.select("key", "sketches"), "key").select("grp", "key", "sketches")
-        settled = settled.union(_settle_in_rounds(big, marks, members.join(big, "key", "left_semi").select("bucket", "key"), similarity))
-    settled = materialize(settled, "settled")
-    label = nodes.select("key", "rep", "n").join(settled, "key", "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    classes = label.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    label = label.select("key", "root", "links").join(classes, "root").select("key", "class_id", "links", "class_size")
-    out = sketched.select("doc_id", "key").join(label, "key", "left")
+        # a node may have been read in several tasks
+        seqs = materialize(found.join(large, "grp", "left_semi").groupBy("node").agg(F.any_value("words").alias("words")), "large")
+        own = group.join(large, "grp", "left_semi")
+        settled = settled.union(_settle_in_rounds(seqs, own, members.join(own, "node", "left_semi").select("bucket", "node"), similarity))
+    settled = materialize(settled.groupBy("node").agg(F.min("root").alias("root")), "settled")
+    label = nodes.select("key", "node", "rep", "n").join(settled, "node", "left").select("key", "rep", "n", F.coalesce("root", "node").alias("root"))
+    classes = label.groupBy("root").agg(F.min("rep").alias("rep"), F.sum("n").alias("class_size"))
+    out = materialize(label.select("key", "root").join(classes, "root").select("key", "rep", F.col("rep.doc_id").alias("class_id"), "class_size"), "classes")
+    discard(met, members, group, large, found, seqs, settled, nodes)
+    return sketched, out
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, group_nodes: int = GROUP_NODES, group_words: int = GROUP_WORDS) -> DataFrame:
+    """(doc_id, class_id, class_size, class_key) of every document."""
+    rows, classes = _classes(docs, similarity, group_nodes, group_words)
     alone = F.col("key").isNull()
-    return out.select(
+    return rows.select("doc_id", "key").join(classes, "key", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("rep.own").alias("class_key"),
     )
 
 
@@ -296,18 +281,23 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` of which each class keeps one: the document whose id is the class's.
+    """The rows of ``docs`` of which each class keeps one: its least row, once.
 
-    Rows that go are few beside those that stay, so their ids are taken out by an
-    anti-join: broadcast when counted to be at most BROADCAST_KEYS, shuffled otherwise.
-    Of rows that repeat an id within a class, one is kept.
+    Rows that go are few beside those that stay, so their ids and texts' MD5 are taken out
+    by an anti-join: broadcast when counted to be at most BROADCAST_NODES, shuffled otherwise.
     """
-    found = materialize(near_duplicates(docs, similarity), "classes")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    again = materialize(found.where("doc_id = class_id and class_size > 1").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    small = gone.count() <= BROADCAST_KEYS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    rows, classes = _classes(docs, similarity, GROUP_NODES, GROUP_WORDS)
+    least = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("own") == F.col("rep.own"))
+    found = materialize(rows.select("doc_id", "own", "key").join(classes.where("class_size > 1"), "key").select(F.col("doc_id").alias("__of_id"), F.col("own").alias("__of_own"), least.alias("first")), "members")
+    gone = found.where("not first").select("__of_id", "__of_own").distinct()
+    again = found.where("first").groupBy("__of_id", "__of_own").agg(F.count("*").alias("n")).where("n > 1").select("__of_id", "__of_own")
+    same = F.col("doc_id").eqNullSafe(F.col("__of_id")) & (F.md5("text") == F.col("__of_own"))
+    small = found.where("not first").count() <= BROADCAST_NODES
+    kept = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    discard(rows, classes)
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+    few = again.count() <= BROADCAST_NODES
+    again = F.broadcast(again) if few else again
+    repeated = kept.join(again, same, "left_semi").withColumn("__own", F.md5("text")).dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return kept.join(again, same, "left_anti").unionByName(repeated)

@@ -172,10 +172,21 @@ def test_language(docs, odd, none):
 # near duplicates
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = list(row)
+        for j, y in enumerate(b, 1):
+            row[j] = before[j - 1] + 1 if x == y else max(before[j], row[j - 1])
+    return row[-1]
+
+
 def brute_classes(df):
+    """All pairs of different texts are compared, whether they share anything or not."""
     memo = Memo(orderhash.word_hash, 10**6)
     texts = [(r["doc_id"], r["text"] or "") for r in df.collect()]
-    seqs = [orderhash.kmers(t, memo) for _, t in texts]
+    seqs = [orderhash.words(t, memo) for _, t in texts]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -183,14 +194,10 @@ def brute_classes(df):
             i = parent[i]
         return i
 
-    where = defaultdict(set)
-    for i, s in enumerate(seqs):
-        for g in s.tolist():
-            where[g].add(i)
-    pairs = {(i, j) for own in where.values() if len(own) > 1 for i in own for j in own if i < j}
-    for i, j in pairs:
-        if orderhash.alignment(seqs[i], seqs[j]) >= 0.8:
-            parent[root(j)] = root(i)
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(seqs[i]) and len(seqs[j]) and root(i) != root(j) and orderhash.alignment(seqs[i], seqs[j]) >= 0.8:
+                parent[root(j)] = root(i)
     least = {}
     for i, (d, _) in enumerate(texts):
         if d is not None:
@@ -215,36 +222,81 @@ def variants(spark, n=60, words=200, seed=5):
             copy[rnd.randrange(words)] = f"v{rnd.randrange(5000)}"
         out.append((i, " ".join(copy)))
     out += [(1000 + i, " ".join(f"u{rnd.randrange(5000)}" for _ in range(words))) for i in range(20)]
+    # a passage that chains texts which are no copies of each other, and copies of one of them
+    passage = [f"p{i}" for i in range(90)]
+    out += [(2000 + i, " ".join(passage + [f"q{rnd.randrange(5000)}" for _ in range(60)])) for i in range(30)]
+    out += [(3000 + i, out[-1][1] + f" more{i}") for i in range(5)]
     return spark.createDataFrame(out, "doc_id long, text string")
 
 
 def test_large_groups_settle_in_rounds(spark):
     df = materialize(variants(spark), "variants")
-    small = neardup.near_duplicates(df).select("doc_id", "class_id")
-    rounds = neardup.near_duplicates(df, group_nodes=8).select("doc_id", "class_id")
     want = brute_classes(df)
-    assert Counter(tuple(r) for r in small.collect()) == want
-    assert Counter(tuple(r) for r in rounds.collect()) == want
+    for limits in ({}, {"group_nodes": 8}, {"group_words": 1000}):
+        got = neardup.near_duplicates(df, **limits)
+        assert Counter((r["doc_id"], r["class_id"]) for r in got.collect()) == want
 
 
-def test_alignment_by_brute_force():
+def test_recall_by_words_changed(spark):
+    """Copies with so many of 100 words exchanged are found; at the threshold itself sketches lose some."""
+    rnd = random.Random(11)
+    out = []
+    for share in (2, 5, 8, 12):
+        for i in range(60):
+            text = [f"w{rnd.randrange(20_000)}" for _ in range(rnd.randrange(60, 500))]
+            copy = [f"x{rnd.randrange(20_000)}" if rnd.random() < share / 100 else w for w in text]
+            out += [(share * 1000 + 2 * i, " ".join(text)), (share * 1000 + 2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    caught = {share: sum(got[share * 1000 + 2 * i + 1] == share * 1000 + 2 * i for i in range(60)) / 60 for share in (2, 5, 8, 12)}
+    assert caught[2] == caught[5] == 1.0 and caught[8] >= 0.97 and caught[12] >= 0.8, caught
+    assert len(set(got.values())) >= 240
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    other = " ".join(f"word{i}" for i in range(20))
+    rows_ = [(1, text), (5, text + " more"), (5, other), (5, other), (None, other + " end"), (None, other + " end"), (None, text + " again"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("__x", F.lit(1))
+    got = neardup.near_duplicates(df).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == Counter(
+        {(1, 1, 3): 1, (5, 1, 3): 1, (None, 1, 3): 1, (5, 5, 4): 2, (None, 5, 4): 2, (None, None, 1): 1, (2, 2, 1): 1}
+    )
+    assert len({r["class_key"] for r in got}) == 3
+    assert Counter((r["doc_id"], r["text"]) for r in neardup.keep_first(df).collect()) == Counter({(1, text): 1, (5, other): 1, (None, None): 1, (2, ""): 1})
+    nulls = spark.createDataFrame([(None, text), (None, text + " x"), (7, text + " y")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in neardup.near_duplicates(nulls).orderBy("doc_id").collect()] == [(None, 7, 3), (None, 7, 3), (7, 7, 3)]
+    assert [tuple(r) for r in neardup.keep_first(nulls).collect()] == [(7, text + " y")]
+
+
+def test_alignment_by_brute_force(monkeypatch):
     rnd = np.random.default_rng(3)
-    for _ in range(200):
-        a = rnd.permutation(60)[: rnd.integers(20, 40)].astype(np.uint64)
-        b = np.concatenate([a[: rnd.integers(0, len(a))], rnd.permutation(60)[: rnd.integers(1, 12)].astype(np.uint64) + np.uint64(100), a[rnd.integers(0, len(a)) :]])
-        b = b[np.sort(np.unique(b, return_index=True)[1])]
-        t = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        true = t[-1, -1] / (len(a) + len(b) - t[-1, -1])
-        got = orderhash.alignment(a, b)
-        assert got == true if true >= 0.8 else got < 0.8
-
-
-def test_components(spark):
+    for rows_ in (2_048, 7):
+        monkeypatch.setattr(orderhash, "ROWS", rows_)
+        for _ in range(300):
+            a = rnd.integers(0, 30, rnd.integers(1, 40)).astype(np.uint64)
+            b = [int(x) if rnd.random() > 0.1 else int(rnd.integers(0, 40)) for x in a for _ in range(int(rnd.choice([0, 1, 1, 1, 1, 1, 1, 1, 2])))]
+            b = np.array(b, np.uint64)
+            true = common_words(a.tolist(), b.tolist()) / max(len(a), len(b))
+            got = orderhash.alignment(a, b)
+            assert got == true if true >= 0.8 else got < 0.8, (a, b)
+
+
+def test_sketches_by_brute_force():
+    g = np.random.default_rng(4).integers(0, 1 << 63, 50, dtype=np.uint64)
+    got = orderhash.sketches(g)
+    assert len(got) == orderhash.SKETCHES
+    for j in range(orderhash.SKETCHES):
+        least = sorted(range(50), key=lambda i: int(g[i]) * int(orderhash._ODD[j]) % (1 << 64))[: orderhash.KEPT]
+        want = orderhash._SEEDS[j : j + 1]
+        for i in sorted(least):
+            want = orderhash.mix(want * orderhash._BASE + g[i])
+        assert got[j] == want.view(np.int64)[0]
+
+
+def test_components(spark, monkeypatch):
     rnd = random.Random(8)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)]
+    pairs += [(299, i) for i in range(200, 299)]
     parent = list(range(300))
 
     def root(i):
@@ -255,8 +307,10 @@ def test_components(spark):
     for a, b in pairs:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    got = {tuple(r) for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {(i, root(i)) for p in pairs if p[0] != p[1] for i in p}
+    for hubs in (10_000, 4, 1):  # all, some and no nodes are hubs
+        monkeypatch.setattr(neardup, "HUBS", hubs)
+        got = {tuple(r) for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == {(i, root(i)) for p in pairs if p[0] != p[1] for i in p}
 
 
 # quality
