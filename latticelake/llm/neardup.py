@@ -39,7 +39,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticelake.llm.common import Memo, column, held, map_arrow, table, texts_of
@@ -47,11 +47,15 @@ from latticelake.llm.orderhash import SIMILARITY, SKETCHES, alignment, kmers, sk
 from latticelake.session import discard, materialize
 
 #: Nodes and words of a candidate group that one task settles; larger groups are settled in rounds.
-GROUP_NODES, GROUP_WORDS = 4_000, 8_000_000
+GROUP_NODES, GROUP_WORDS = 20_000, 16_000_000
+#: Bins that a text's words are counted in; pairs that are looked at together.
+BINS, PAIRS = 1_024, 2_000_000
 #: Rounds of comparisons with bucket leaders in larger groups.
-ROUNDS = 3
+ROUNDS = 2
 #: Nodes (or rows to take out) that may be broadcast, some 100 bytes each.
 BROADCAST_NODES = 250_000
+#: Edges whose minima may all be broadcast, 16 bytes each.
+BROADCAST_EDGES = 1_000_000
 #: A node with more than one in so many of all edges is a hub; there are fewer hubs than that.
 HUBS = 10_000
 CACHE = 200_000
@@ -84,56 +88,100 @@ def _sketched(docs: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """(a, b, m): the edges with the least b of their a.
 
-    Hubs' minima are broadcast, fewer than HUBS rows as each has more than one in HUBS of
-    all ``total`` edges; no other node has enough edges to make a task hot.
+    Of few edges all minima are broadcast. Of many, those of hubs are: fewer than HUBS rows, as
+    each has more than one in HUBS of all ``total`` edges; no other node makes a task hot.
     """
     low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if total <= BROADCAST_EDGES:
+        return edges.join(F.broadcast(low.select("a", "m")), "a")
     hubs = low.where(F.col("n") * HUBS > total).select("a", F.col("m").alias("hub"))
     marked = edges.join(F.broadcast(hubs), "a", "left")
     rest = low.where(F.col("n") * HUBS <= total).select("a", "m")
     return marked.where("hub is not null").select("a", "b", F.col("hub").alias("m")).unionByName(marked.where("hub is null").drop("hub").join(rest, "a"))
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The different edges, written; their number and a sum over their hashes."""
+    seen = Observation()
+    edges = edges.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    edges = materialize(edges, "edges")
+    return edges, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b), root the least of its component.
 
     Alternating large-star and small-star steps, each a join with the least neighbour,
     until the edges are the stars around the roots.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sign = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if sign == now:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        sign = now
-        large = _with_least(edges.union(edges.select("b", "a")), 2 * now["n"]).where("b > a")
-        large = materialize(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct(), "edges")
-        small = _with_least(large, large.count())
-        new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
-        after = materialize(new, "edges")
+    edges, now = _counted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    before = None
+    while now != before:
+        before, n = now, now[0]
+        large = _with_least(edges.union(edges.select("b", "a")), 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
+        if 2 * n > BROADCAST_EDGES:
+            large, (n, _) = _counted(large)
+        small = _with_least(large, n)
+        after, now = _counted(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))))
         discard(edges, large)
         edges = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def _cross_pairs(met: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of different classes among the members of each list, some PAIRS or a member's at a time."""
+    first, second, waiting = [], [], 0
+    for own in met:
+        of = label[own]
+        for j, i in enumerate(own[:-1].tolist() if (of != of[0]).any() else ()):
+            late = own[j + 1 :][of[j + 1 :] != of[j]]
+            if len(late):
+                first.append(np.full(len(late), i))
+                second.append(late)
+                waiting += len(late)
+            if waiting >= PAIRS:
+                yield np.concatenate(first), np.concatenate(second)
+                first, second, waiting = [], [], 0
+    if waiting:
+        yield np.concatenate(first), np.concatenate(second)
 
 
 def _settle(nodes: list[int], seqs: list[np.ndarray], similarity: float) -> list[int]:
-    """For each node of one candidate group the least node of its class."""
+    """For each node of one candidate group the least node of its class.
+
+    First each sketch value's nodes are compared to one of them, which leaves most values
+    with a single class; then all pairs of different classes that share a value are. Words
+    counted in BINS bins bound from above what an alignment can match and spare most of them.
+    """
     n = len(nodes)
-    marks = np.array([sketches(kmers(s)) for s in seqs])
     size = np.array([len(s) for s in seqs])
+    bins = np.array([np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS) for s in seqs], np.uint16 if size.max() < 1 << 16 else np.uint32)
+    marks = np.array([sketches(kmers(s)) for s in seqs]).reshape(-1)
+    order = np.argsort(marks, kind="stable")
+    turns = np.flatnonzero(np.concatenate([[True], marks[order][1:] != marks[order][:-1], [True]]))
+    met = [order[lo:hi] // SKETCHES for lo, hi in zip(turns, turns[1:], strict=False) if hi - lo > 1]
     label = np.arange(n)
-    step = max(1, min(512, 40_000_000 // n))
-    for lo in range(0, n, step):
-        agree = np.zeros((min(step, n - lo), n), np.int8)
-        for j in range(SKETCHES):
-            agree += marks[lo : lo + step, j, None] == marks[None, :, j]
-        for i in range(lo, min(lo + step, n)):
-            own = agree[i - lo]
-            # texts of too different lengths cannot align
-            may = np.flatnonzero((own > 0) & (label != label[i]) & (np.arange(n) > i) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])))
-            for k in may[np.argsort(-own[may], kind="stable")].tolist():
-                if label[k] != label[i] and alignment(seqs[i], seqs[k], similarity) >= similarity:
-                    label[label == label[k]] = label[i]
+    tested: set[int] = set()
+
+    def compare(first: np.ndarray, second: np.ndarray) -> None:
+        pairs = np.unique((np.minimum(first, second) * n + np.maximum(first, second))[label[first] != label[second]])
+        x, y = pairs // n, pairs % n
+        need = np.ceil(similarity * np.maximum(size[x], size[y]) - 1e-9)
+        may = np.flatnonzero(np.minimum(size[x], size[y]) >= need)
+        for lo in range(0, len(may), 2_000):
+            at = may[lo : lo + 2_000]
+            at = at[label[x[at]] != label[y[at]]]
+            at = at[np.minimum(bins[x[at]], bins[y[at]]).sum(1, dtype=np.int64) >= need[at]]
+            for i, k, pair in zip(x[at].tolist(), y[at].tolist(), pairs[at].tolist(), strict=True):
+                if label[k] != label[i] and pair not in tested:
+                    tested.add(pair)
+                    if alignment(seqs[i], seqs[k], similarity) >= similarity:
+                        label[label == label[k]] = label[i]
+
+    if met:
+        compare(np.concatenate([np.full(len(own) - 1, own[0]) for own in met]), np.concatenate([own[1:] for own in met]))
+    for first, second in _cross_pairs(met, label):
+        compare(first, second)
     least: dict[int, int] = {}
     for node, c in zip(nodes, label.tolist(), strict=True):
         least[c] = min(least.get(c, node), node)

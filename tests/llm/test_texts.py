@@ -307,7 +307,8 @@ def test_components(spark, monkeypatch):
     for a, b in pairs:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    for hubs in (10_000, 4, 1):  # all, some and no nodes are hubs
+    for few, hubs in ((10**6, 10_000), (0, 10_000), (0, 4), (0, 1)):  # all minima are broadcast; all, some and no nodes are hubs
+        monkeypatch.setattr(neardup, "BROADCAST_EDGES", few)
         monkeypatch.setattr(neardup, "HUBS", hubs)
         got = {tuple(r) for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
         assert got == {(i, root(i)) for p in pairs if p[0] != p[1] for i in p}
