@@ -6,9 +6,10 @@ each letter, the closer the text is to that language. Words are parsed one by on
 their end marked), so phrase counts of a word are computed once per task and summed over
 the document: all words of the whole text count.
 
-The sample is bounded by DOCS_PER_LANG documents, DOC_CHARS of each and LANG_CHARS in
-all, taken by the least hash of doc_id per language; only these bounded strings go to
-the driver and to the workers.
+The sample is bounded by DOCS_PER_LANG rows of each language, taken by the least hash of
+doc_id, and DOC_CHARS characters of each: stretches of STRETCH characters spread evenly
+over the whole text. Only these bounded strings of at most LANGS languages go to the driver
+and to the workers; a table with more languages is an error.
 
 Defined results: a null text or one without any letter is ``und`` with score 0, as is
 every text where no labelled document exists; equal rates go to the language that sorts
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from latticelake.llm.common import Memo, column, held, map_arrow, table, texts_of
 
-DOCS_PER_LANG, DOC_CHARS, LANG_CHARS = 40, 4_000, 40_000
+LANGS, DOCS_PER_LANG, DOC_CHARS, STRETCH = 1_000, 40, 1_000, 200
 #: Folds of documents by crc32 of their id; the fold HELD_OUT is never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Sharpness of the score: a softmax over phrases per letter.
@@ -128,21 +129,39 @@ def fold(docs: DataFrame, folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def spread(text: str) -> str:
+    """The normalised text, or DOC_CHARS characters of it in stretches spread evenly from its beginning to its end."""
+    whole = normalise(text)
+    if len(whole) <= DOC_CHARS:
+        return whole
+    n = DOC_CHARS // STRETCH
+    step = (len(whole) - STRETCH) / (n - 1)
+    return "".join(whole[round(i * step) : round(i * step) + STRETCH] for i in range(n))
+
+
 def fit(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """((language, sample), ...) from the bounded sample described above."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(docs, FOLDS) != HELD_OUT).select("doc_id", "lang", "text")
-    light = labelled.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    picked = light.withColumn("at", F.row_number().over(order)).where(F.col("at") <= DOCS_PER_LANG).select("doc_id", "lang").distinct().collect()
+    order = Window.partitionBy("lang").orderBy("h", "own")
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(docs, FOLDS) != HELD_OUT)
+    labelled = labelled.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.md5("text").alias("own"), "text")
+    light = labelled.select("lang", "h", "own").withColumn("at", F.row_number().over(order)).where(F.col("at") <= DOCS_PER_LANG)
+    picked = light.select("lang", "h", "own").distinct().limit(LANGS * DOCS_PER_LANG + 1).collect()
+    if len({r["lang"] for r in picked}) > LANGS:
+        raise ValueError(f"more than {LANGS} languages in the column lang")
     if not picked:
         return ()
-    bound = 4 * len(picked)
-    rows = labelled.where(F.col("doc_id").isin([r["doc_id"] for r in picked])).select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text")).limit(bound).collect()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "lang string, h long, own string"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([spread(t) for t in texts_of(batch)], pa.string()))
+
+    # rows of an id that repeats with its text give one sample
+    rows = map_arrow(labelled.join(wanted, ["lang", "h", "own"]), run, "lang string, h long, own string, text string").dropDuplicates(["lang", "h", "own"]).collect()
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
-        if len(samples.setdefault(r["lang"], "")) < LANG_CHARS:
-            samples[r["lang"]] += normalise(r["text"])
-    return tuple((lang, s[:LANG_CHARS]) for lang, s in sorted(samples.items()) if s)
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["own"])):
+        samples[r["lang"]] = samples.get(r["lang"], "") + r["text"]
+    return tuple((lang, s) for lang, s in sorted(samples.items()) if s)
 
 
 def identify(docs: DataFrame, model: tuple[tuple[str, str], ...], *keep: str) -> DataFrame:

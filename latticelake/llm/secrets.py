@@ -9,7 +9,8 @@ secret; all others are held at outside, so that decoding around such tokens equa
 decoding the whole text.
 
 The field learns from the windows of at most SAMPLE documents (least hash of doc_id)
-whose tokens the base patterns tag; only these windows reach the driver.
+whose tokens the base patterns tag, cut into stretches of at most STRETCH tokens; the WINDOWS
+stretches of least hash reach the driver, nothing else does.
 
 Defined results: null and empty texts have no spans; spans are code points, end
 exclusive; a span of the field that meets a base span is left out, for base spans stay as
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from latticelake.llm.common import Memo, column, map_arrow, table, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
-#: Documents that the field learns from at most, and windows of them.
-SAMPLE, WINDOWS = 1_000, 4_000
+#: Documents that the field learns from at most, stretches of their windows, and tokens of a stretch.
+SAMPLE, WINDOWS, STRETCH = 1_000, 4_000, 120
 #: Characters of a token that may be a secret; characters of context on each side of it.
 CANDIDATE, CONTEXT = 8, 64
 #: Characters from which a token without digits may be a secret by itself: of any kind, or of more than DENSE_BITS bits a character.
@@ -268,18 +269,40 @@ def train(sequences: list[tuple[list[str], list[str], list[int]]], rounds: int =
 
 
 def _labelled(text: str) -> Iterator[tuple[list[str], list[str], list[int]]]:
-    """Windows of a text with the tags that the base patterns give their tokens."""
+    """Windows of a text, in stretches, with the tags that the base patterns give their tokens."""
     base = base_spans(text)
     file = file_features(text)
     for lo, hi in windows(text):
-        found = list(_TOKEN.finditer(text, lo, hi))[:120]
-        tags, last = [], None
-        for m in found:
-            own = next((s for s in base if s[0] < m.end() and m.start() < s[1]), None)
+        found = list(_TOKEN.finditer(text, lo, hi))
+        tags, last, meets = [], None, _meeting([(m.start(), m.end()) for m in found], base)
+        for m, own in zip(found, meets, strict=True):
             value = own is not None and len(m[0]) >= CANDIDATE and (own[2] != 0 or m.end() >= own[1] - 1)
             tags.append(_O if not value else _I if own == last else _B)
             last = own if value else None
-        yield [m[0] for m in found], file, tags
+        tokens = [m[0] for m in found]
+        at = 0
+        while at < len(tokens):
+            end = min(len(tokens), at + STRETCH)
+            while at + 1 < end < len(tokens) and tags[end] == _I:  # no secret is cut
+                end -= 1
+            yield tokens[at:end], file, tags[at:end]
+            at = end
+
+
+def _meeting(own: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int] | None]:
+    """For each of the stretches in order the first of the spans in order that it meets."""
+    out, j = [], 0
+    ends: list[int] = []  # the farthest end of the spans so far
+    for s in spans:
+        ends.append(max(s[1], ends[-1]) if ends else s[1])
+    for start, end in own:
+        while j < len(spans) and ends[j] <= start:
+            j += 1
+        k = j
+        while k < len(spans) and spans[k][0] < end and spans[k][1] <= start:
+            k += 1
+        out.append(spans[k] if k < len(spans) and spans[k][0] < end else None)
+    return out
 
 
 def fit(docs: DataFrame) -> Field | None:
@@ -292,7 +315,8 @@ def fit(docs: DataFrame) -> Field | None:
             rows = [w for text in texts_of(batch) for w in _labelled(text)]
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))], ["tokens", "file", "tags"])
 
-    got = map_arrow(some.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text"), run, "tokens array<string>, file array<string>, tags array<int>").limit(WINDOWS).collect()
+    got = map_arrow(some.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text"), run, "tokens array<string>, file array<string>, tags array<int>")
+    got = got.withColumn("h", F.xxhash64("tokens", "file", "tags")).orderBy("h", "tokens", "tags").limit(WINDOWS).collect()
     return train(sorted((list(r["tokens"]), list(r["file"]), list(r["tags"])) for r in got))
 
 
@@ -301,7 +325,8 @@ def all_spans(text: str, field: Field | None) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     if field is None:
         return base
-    more = [(a, b, 3) for a, b in field.spans(text) if not any(s < b and a < e for s, e, _ in base)]
+    found = field.spans(text)
+    more = [(a, b, 3) for (a, b), met in zip(found, _meeting(found, base), strict=True) if met is None]
     return sorted(base + more, key=lambda s: (s[0], s[2]))
 
 

@@ -73,6 +73,42 @@ def test_field_generalises_and_decodes_exactly(docs):
         assert tuple(f.tags(tokens, [])) == max(paths, key=cost)
 
 
+def test_field_finds_secrets_that_no_pattern_covers():
+    """Measured on values behind key words that the base patterns do not know, in sentences of the documents."""
+    from pyspark.sql import SparkSession
+
+    docs = SparkSession.getActiveSession().read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = secrets.fit(docs)
+    texts = [r["text"] or "" for r in docs.collect()]
+    words = [w for t in texts[:50] for w in t.split() if w.isalpha()]
+    rnd = random.Random(4)
+    forms = ["Authorization: Bearer {}", "pwd = {}", 'db_password_prod: "{}"', "client_credential = {}", "auth: {}", "passphrase: {}"]
+    hit = 0
+    for i in range(300):
+        value = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rnd.randrange(16, 40)))
+        text = " ".join([*rnd.choices(words, k=20), forms[i % 6].format(value), *rnd.choices(words, k=20)])
+        at = text.index(value)
+        spans = secrets.all_spans(text, field)
+        hit += any(a <= at + 2 and b >= at + len(value) - 2 for a, b, _ in spans)
+        assert all(b > at - 40 and a < at + len(value) + 2 for a, b, k in spans if k == 3), "ordinary words are left alone"
+    assert hit >= 0.55 * 300
+    assert sum(k == 3 for t in texts[:300] for _, _, k in secrets.all_spans(t, field)) <= 3
+
+
+def test_training_stretches_and_meetings(monkeypatch):
+    rnd = random.Random(9)
+    for _ in range(200):
+        own = sorted((a, a + rnd.randrange(1, 6)) for a in rnd.sample(range(0, 100, 7), 8))
+        spans = sorted((a, a + rnd.randrange(1, 30), rnd.randrange(3)) for a in rnd.choices(range(100), k=rnd.randrange(6)))
+        assert secrets._meeting(own, spans) == [next((s for s in spans if s[0] < b and a < s[1]), None) for a, b in own]
+    text = " ".join(f'password = "abcdefghij{i}klmnop" deadbeef{i:016x} word' for i in range(40))
+    whole = list(secrets._labelled(text))
+    monkeypatch.setattr(secrets, "STRETCH", 10)
+    cut = list(secrets._labelled(text))
+    assert [t for w, _, _ in cut for t in w] == [t for w, _, _ in whole for t in w] and [t for _, _, g in cut for t in g] == [t for _, _, g in whole for t in g]
+    assert max(len(w) for w, _, _ in cut) <= 10 and all(g[0] != 2 for _, _, g in cut)
+
+
 def test_windows_decode_as_the_whole_text(docs):
     text = 'words before it and db_password_prod: "QwErTyUiOpAsDfGh" and words behind'
     at = text.index("QwEr")
@@ -293,6 +329,15 @@ def test_sketches_by_brute_force():
         assert got[j] == want.view(np.int64)[0]
 
 
+def test_language_samples_cover_whole_texts(spark):
+    text = "beginning " * 400 + "middle " * 400 + "ending " * 400
+    sample = langid.spread(text)
+    assert len(sample) <= langid.DOC_CHARS and all(w in sample for w in ("beginning", "middle", "ending"))
+    df = spark.createDataFrame([(i, text, "xx") for i in (1, 1, 3, 4)], "doc_id long, text string, lang string")
+    (lang, model), = langid.fit(df.repartition(3))
+    assert lang == "xx" and len(model) % len(sample) == 0 and langid.fit(df.coalesce(1)) == ((lang, model),)
+
+
 def test_components(spark, monkeypatch):
     rnd = random.Random(8)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)]

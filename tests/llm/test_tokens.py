@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -221,6 +222,38 @@ def test_tree_counts_as_encoding_anew(tik):
             assert (tree.text(), tree.total, tree.length) == (t, len(tik(t)), len(t))
 
 
+def test_large_inserts_are_cut_into_leaves(tik):
+    counts = tokencount.counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = "a few words to begin with " * 20
+    tree = tokencount.TokenTree(text, counts)
+    new = "inserted words, many of them; " * 3_000
+    tree.edit(100, 120, new)
+    text = text[:100] + new + text[120:]
+    assert max(map(len, tree.leaves)) < 400 and tree.total == len(tik(text))
+    before = tree.reencoded
+    for at in (50_000, 70_003, 12, len(text) - 3):
+        tree.edit(at, at + 5, "edit")
+        text = text[:at] + "edit" + text[at + 5 :]
+        assert (tree.text(), tree.total) == (text, len(tik(text)))
+    assert tree.reencoded - before <= 12
+    tree.edit(0, len(text), "")
+    assert (tree.total, tree.text(), tree.kept()) == (0, "", [])
+    tree.edit(0, 0, "anew")
+    assert (tree.total, tree.text()) == (len(tik("anew")), "anew")
+
+
+def test_kept_trees(spark, docs, odd, none, tik):
+    for df in (docs, odd):
+        path = scratch_path(spark, "trees")
+        tokencount.build_trees(df).write.parquet(path)
+        trees = spark.read.parquet(path)
+        edits = tokencount.sample_edits(df).groupBy("doc_id").agg(F.first("edits").alias("edits"))
+        got = tokencount.edit_trees(trees.join(edits, trees["doc_id"].eqNullSafe(edits["doc_id"])).select(trees["doc_id"], "leaves", "edits")).collect()
+        want = Counter((r["doc_id"], r["n_tokens_edited"], r["edited_sha256"]) for r in tokencount.count_edits(tokencount.sample_edits(df)).collect())
+        assert Counter((r["doc_id"], r["n_tokens"], hashlib.sha256("".join(x["text"] for x in r["leaves"]).encode()).hexdigest()) for r in got) == want
+    assert tokencount.build_trees(none).count() == 0
+
+
 def test_edit_counts(docs, odd, none, tik):
     for df in (docs, odd):
         for r in tokencount.count_edits(tokencount.sample_edits(df)).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
