@@ -9,18 +9,22 @@
 5. ``encode``: byte-level BPE; returns the digest rows of operator 1.
 
 Stages 1 to 4 return the columns of ``documents`` as they are, extra columns included.
+
+Defined results: a null text or one without letters goes in stage 1, empty ones among them; texts
+of any length are read whole; rows that repeat an id and a text are copies, of which stage 2
+keeps one, and rows that repeat an id with other texts or have none are documents like others;
+of equally least rows any one stays, for they are equal in id and text; a table without labels
+teaches no language, so that all its documents go; an empty table gives an empty result at every
+stage; other columns, nulls in them included, pass through whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticelake.llm import bpe, decontam, langid, neardup, secrets
 from latticelake.llm.common import table
-from latticelake.session import materialize
+from latticelake.session import discard, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(lambda docs, stage: materialize(stage[1](spark, docs, sf_dir), stage[0]), STAGES, table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        after = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = after
+    return docs
