@@ -6,6 +6,8 @@ import io
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+
 from latticelake.errors import ParseError
 from latticelake.functions import grammar
 
@@ -25,10 +27,16 @@ class Span(NamedTuple):
 
 
 class Lines:
-    """Buffered lines of a stream, which can also skip or take many lines at once."""
+    """Buffered lines of a stream, which can also skip or take many lines at once.
+
+    Line ends are found once for each chunk, so that a step over any number of lines
+    costs the same.
+    """
 
     def __init__(self, stream: io.BufferedIOBase, at: int = 0):
         self.stream, self.buffer, self.pos, self.at, self.ended = stream, b"", 0, at, False
+        self.ends: list[int] = []
+        self.turn = 0  # the next of ``ends``
 
     def _more(self) -> bool:
         if self.ended:
@@ -37,55 +45,37 @@ class Lines:
         if not chunk:
             self.ended = True
             return False
-        self.buffer = self.buffer[self.pos :] + chunk
-        self.pos = 0
+        rest = self.buffer[self.pos :]
+        found = np.flatnonzero(np.frombuffer(chunk, np.uint8) == 10) + len(rest)
+        self.buffer, self.pos, self.ends, self.turn = rest + chunk, 0, found.tolist(), 0
         return True
 
+    def _take(self, end: int, keep: bool = True) -> bytes:
+        out = self.buffer[self.pos : end] if keep else b""
+        self.at += end - self.pos
+        self.pos = end
+        return out
+
     def line(self) -> bytes | None:
         """The next line without its end, None at the end of the stream."""
-        start = self.pos
-        while (i := self.buffer.find(b"\n", start)) < 0:
-            seen = len(self.buffer) - self.pos
+        while self.turn >= len(self.ends):
             if not self._more():
-                if self.pos >= len(self.buffer):
-                    return None
-                out = self.buffer[self.pos :]
-                self.at += len(out)
-                self.buffer, self.pos = b"", 0
-                return out
-            start = seen
-        out = self.buffer[self.pos : i]
-        self.at += i + 1 - self.pos
-        self.pos = i + 1
-        return out
+                return self._take(len(self.buffer)) if self.pos < len(self.buffer) else None
+        end = self.ends[self.turn]
+        self.turn += 1
+        return self._take(end + 1)[:-1]
 
     def many(self, n: int, keep: bool) -> bytes | None:
         """The next ``n`` lines, or as many as there are, as one block (None if not kept)."""
         out: list[bytes] = []
         while n:
-            have = self.buffer.count(b"\n", self.pos)
-            if have >= n:
-                i = self.pos - 1
-                if n == have:
-                    i = self.buffer.rfind(b"\n")
-                else:
-                    parts = self.buffer[self.pos :].split(b"\n", n)
-                    i = len(self.buffer) - len(parts[-1]) - 1
-                n = 0
-                end = i + 1
-            else:
-                n -= have
-                end = self.buffer.rfind(b"\n", self.pos) + 1 if have else self.pos
-            if keep:
-                out.append(self.buffer[self.pos : end])
-            self.at += end - self.pos
-            self.pos = end
+            step = min(n, len(self.ends) - self.turn)
+            if step:
+                self.turn += step
+                n -= step
+                out.append(self._take(self.ends[self.turn - 1] + 1, keep))
             if n and not self._more():
-                rest = self.buffer[self.pos :]
-                self.at += len(rest)
-                if keep:
-                    out.append(rest)
-                self.buffer, self.pos = b"", 0
+                out.append(self._take(len(self.buffer), keep))
                 break
         return b"".join(out) if keep else None
 
