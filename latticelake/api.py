@@ -157,11 +157,13 @@ def _raise_first(table: DataFrame) -> None:
     """Raise the fault of least frame index that permissive reading has found."""
     e = table.where("error is not null").orderBy("source", "frame_index").select("frame_index", "error").limit(1).collect()
     if e:
-        fault = e[0]["error"]
-        if fault["is_io"]:
-            raise OSError(fault["message"])
-        bare = fault["message"].split(": ", 2 if fault["line"] else 1)[-1]
-        raise ParseError(bare, e[0]["frame_index"], fault["line"], fault["column"])
+        _raise(e[0]["frame_index"], e[0]["error"])
+
+
+def _raise(frame: int, fault: Any) -> None:
+    if fault["is_io"]:
+        raise OSError(fault["message"])
+    raise ParseError(fault["message"].split(": ", 2 if fault["line"] else 1)[-1], frame, fault["line"], fault["column"])
 
 
 def _check_threads(threads: int | None) -> None:
@@ -194,6 +196,22 @@ def _canonical(typed: DataFrame, spec: SchemaSpec) -> DataFrame:
     return typed.select("source", "frame_index", "line", "n_atoms", put(columns, COLUMN).alias("columns"), put(metadata, ENTRY).alias("metadata"))
 
 
+def _is_corpus(path: str, member: str | None) -> bool:
+    return member == "*" or len(codecs.expand(str(path))) > 1
+
+
+def _one_order(found: DataFrame) -> DataFrame:
+    """(source, file_index, frame_index, ...) of an index over many files: frames numbered through all of them, in the order of their sources."""
+    from latticelake.operators.select import numbered
+
+    return numbered(found.withColumnRenamed("frame_index", "file_index"), "source", "file_index")
+
+
+def _renumbered(table: DataFrame, order: DataFrame) -> DataFrame:
+    """Frames under the numbers that ``_one_order`` gave them."""
+    return table.withColumnRenamed("frame_index", "file_index").join(order.select("source", "file_index", "frame_index"), ["source", "file_index"]).drop("file_index")
+
+
 def _selected(path: str, at: Index, compression: str, member: str | None, schema: Any, conformance: Conformance, mode: Mode | None, spark: SparkSession | None) -> DataFrame:
     """The rows that an index asks for, with ``pos``.
 
@@ -206,6 +224,11 @@ def _selected(path: str, at: Index, compression: str, member: str | None, schema
     if schema is None:
         if isinstance(got, list) and any(k < 0 for k in got):
             raise IndexError("an explicit list of indices must not be negative")
+        if _is_corpus(path, member):
+            table = frames(path, compression=compression, member=member, spark=spark, onError="PERMISSIVE")
+            _raise_first(table)
+            order = _one_order(index(path, compression=compression, member=member, spark=spark))
+            return select(_renumbered(table, order), got, order.count() if needs_count(got) else None)
         table = frames(path, compression=compression, member=member, spark=spark, index=as_option(got), onError="PERMISSIVE")
         n = None
         if needs_count(got):
@@ -306,13 +329,17 @@ def iread_batch(
 ) -> Iterator[Batch]:
     """Batches under a packing plan, which is made from the index alone, before any frame is parsed."""
     _check_threads(threads)
-    streaming = codecs.is_remote(str(path)) or not codecs.splittable(str(path), compression)
+    streaming = codecs.is_remote(str(path)) or member == "*" or not all(codecs.splittable(p, compression) for p in codecs.expand(str(path)))
     batching.check_strategy(frames_per_batch, atoms_per_batch, memory_scales_with, max_scaler, shuffle, seed, streaming)
     if mode is not None and schema is None:
         raise ValueError("mode needs a schema")
-    plan = plan_batches(index(path, with_volume=memory_scales_with == "n_atoms_x_density", compression=compression, member=member, spark=spark), frames_per_batch, atoms_per_batch, memory_scales_with, max_scaler, shuffle, seed)
+    found = index(path, with_volume=memory_scales_with == "n_atoms_x_density", compression=compression, member=member, spark=spark)
     table = frames(path, compression=compression, member=member, spark=spark, onError="PERMISSIVE")
     _raise_first(table)
+    if _is_corpus(path, member):
+        found = _one_order(found)
+        table = _renumbered(table, found)
+    plan = plan_batches(found, frames_per_batch, atoms_per_batch, memory_scales_with, max_scaler, shuffle, seed)
     if schema is not None:
         table = _policy(table, resolve(schema), conformance, mode)
         plan = plan.join(table.select("frame_index"), "frame_index")
@@ -352,9 +379,12 @@ def scan(path: str, *, with_volume: bool = False, compression: str = "infer", me
 
 
 def infer_schema(path: str, *, compression: str = "infer", member: str | None = None, spark: SparkSession | None = None) -> inferring.Schema:
-    table = frames(path, compression=compression, member=member, spark=spark, onError="PERMISSIVE")
-    _raise_first(table)
-    return inferring.infer(table)
+    """The schema of all frames, folded by the tasks that parse them: files are read once."""
+    rows = inferring.merged(_load(path, "schema", compression=compression, member=member, spark=spark, onError="PERMISSIVE")).collect()
+    for r in rows:
+        if r["axis"] == "error":
+            _raise(r["first"]["first_frame"], r["error"])
+    return inferring.of_folds(rows)
 
 
 def write(path: str, obj: DataFrame | Frame | Iterable[Frame], *, append: bool = False, compression: str = "infer", level: int | None = None, threads: int | None = None) -> None:

@@ -60,7 +60,8 @@ def shuffled(index: DataFrame, n_frames: int, seed: int | None) -> DataFrame:
 def _packed(index: DataFrame, sort: list, columns: list[str], fold) -> DataFrame:
     """An order-bound fold over the index rows (three numbers a frame), streamed through one task."""
     ship(index.sparkSession)
-    ordered = index.select(*columns).coalesce(1).sortWithinPartitions(*sort)
+    # a shuffle, so that only the fold and not the scan above it runs in one task
+    ordered = index.select(*columns).repartition(1).sortWithinPartitions(*sort)
     return ordered.mapInArrow(fold, "frame_index bigint, n_atoms bigint, batch_id bigint, pos_in_batch bigint")
 
 

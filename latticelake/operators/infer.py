@@ -147,6 +147,16 @@ def unified(variants: Column, extent: str) -> Column:
     return F.when(F.size(variants) == 1, F.struct(variants[0]["kind"].alias("kind"), variants[0][extent].alias(extent))).when(two, F.struct(F.lit("R").alias("kind"), variants[0][extent].alias(extent)))
 
 
+def _schema(sizes: tuple, columns: list, metadata: list) -> Schema:
+    """From (frames, total, least, most, mean, median, deviation) and (name, [(kind, extent, frames)], present) in order."""
+    return Schema(
+        *sizes[:4],
+        tuple(ColumnSchema(name, tuple(ColumnVariant(*v) for v in variants), present) for name, variants, present in columns),
+        tuple(MetadataSchema(key, tuple(MetadataVariant(kind, tuple(shape), n) for kind, shape, n in variants), present) for key, variants, present in metadata),
+        *sizes[4:],
+    )
+
+
 def infer(frames: DataFrame) -> Schema:
     """The schema of a frames table; only its entries, not frames, reach the driver."""
     from latticelake.operators.stats import atom_stats
@@ -154,9 +164,34 @@ def infer(frames: DataFrame) -> Schema:
     s = atom_stats(frames).first()
     cols = sorted(column_fold(frames).collect(), key=lambda r: r["first"])
     meta = sorted(metadata_fold(frames).collect(), key=lambda r: r["first"])
-    return Schema(
-        s["n_frames"], s["total_atoms"], s["min_atoms"], s["max_atoms"],
-        tuple(ColumnSchema(r["name"], tuple(ColumnVariant(v["kind"], v["width"], v["frames"]) for v in r["variants"]), r["frames_present"]) for r in cols),
-        tuple(MetadataSchema(r["key"], tuple(MetadataVariant(v["kind"], tuple(v["shape"]), v["frames"]) for v in r["variants"]), r["frames_present"]) for r in meta),
-        s["mean_atoms"], s["median_atoms"], s["std_atoms"],
+    return _schema(
+        (s["n_frames"], s["total_atoms"], s["min_atoms"], s["max_atoms"], s["mean_atoms"], s["median_atoms"], s["std_atoms"]),
+        [(r["name"], [(v["kind"], v["width"], v["frames"]) for v in r["variants"]], r["frames_present"]) for r in cols],
+        [(r["key"], [(v["kind"], v["shape"], v["frames"]) for v in r["variants"]], r["frames_present"]) for r in meta],
     )
+
+
+def merged(folds: DataFrame) -> DataFrame:
+    """The source's folds of many files as one: a row for each signature and each frame size, and one for the first fault."""
+    first = F.min(F.struct("source", "first_frame", "first_pos")).alias("first")
+    return folds.groupBy("axis", "name", "kind", "extent", "n_atoms").agg(F.sum("frames").alias("frames"), first, F.min_by("error", F.struct("source", "first_frame")).alias("error"))
+
+
+def of_folds(rows: list) -> Schema:
+    """The schema from the collected rows of ``merged``."""
+    def entries(axis: str) -> list:
+        names: dict[str, list] = {}
+        for r in sorted((r for r in rows if r["axis"] == axis), key=lambda r: r["first"]):
+            names.setdefault(r["name"], []).append((r["kind"], r["extent"][0] if axis == "column" else r["extent"], r["frames"]))
+        return [(name, variants, sum(v[2] for v in variants)) for name, variants in names.items()]
+
+    sizes = sorted((r["n_atoms"], r["frames"]) for r in rows if r["axis"] == "atoms")
+    n, total = sum(c for _, c in sizes), sum(x * c for x, c in sizes)
+    if not n:
+        return _schema((0, 0, None, None, None, None, None), [], [])
+    mean, seen, middle = total / n, 0, []
+    for x, c in sizes:
+        middle += [x] * sum(seen <= at < seen + c for at in ((n - 1) // 2, n // 2))
+        seen += c
+    deviation = (sum(c * (x - mean) ** 2 for x, c in sizes) / n) ** 0.5
+    return _schema((n, total, sizes[0][0], sizes[-1][0], mean, sum(middle) / 2, deviation), entries("column"), entries("metadata"))

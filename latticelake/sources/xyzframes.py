@@ -1,7 +1,7 @@
 """The ``xyzframes`` data source: extended-XYZ files as rows of frames, of an index or of atoms.
 
 Options: ``compression``, ``member`` (``*`` for every member of an archive), ``mode``
-(``frames``, ``scan`` or ``atoms``), ``index`` (a selection in the index grammar, forward
+(``frames``, ``scan``, ``atoms`` or ``schema``), ``index`` (a selection in the index grammar, forward
 only), ``withVolume``, ``columns`` (comma-separated names to keep), ``onError``
 (``FAILFAST`` or ``PERMISSIVE``) and ``splitBytes``.
 
@@ -14,6 +14,7 @@ goes unseen.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,12 @@ from latticelake.types import FRAMES, INDEX, RawFrame
 SPLIT_BYTES = 128 << 20
 #: Atoms or frames of one Arrow batch.
 BATCH_ATOMS, BATCH_FRAMES = 200_000, 2_000
+_ERROR = pa.struct([("line", pa.int64()), ("column", pa.int32()), ("message", pa.string()), ("is_io", pa.bool_())])
+#: What a file holds, folded by the task that parses it: a row for each signature of a column or metadata key, for each frame size, and for a fault.
+SCHEMA = (
+    "source string, axis string, name string, kind string, extent array<int>, n_atoms bigint, frames bigint, first_frame bigint, first_pos int, "
+    "error struct<line:bigint,column:int,message:string,is_io:boolean>"
+)
 ATOMS = "source string, frame_index bigint, atom_index bigint, name string, kind string, component int, r double, i bigint, b boolean, s string"
 
 
@@ -116,7 +123,7 @@ def frames_batch(frames: list[RawFrame], source: str, errors: list[tuple | None]
     columns, entries = [f.columns for f in frames], [f.metadata for f in frames]
     width = pa.array([e[2] for row in columns for e in row], pa.int32())
     shape = _lists([np.array(e[2], np.int32) for row in entries for e in row], pa.int32())
-    error = pa.array([None if e is None else dict(zip(("line", "column", "message", "is_io"), e, strict=True)) for e in errors], pa.struct([("line", pa.int64()), ("column", pa.int32()), ("message", pa.string()), ("is_io", pa.bool_())]))
+    error = _errors(errors)
     ints = [pa.array([getattr(f, n) for f in frames], pa.int64()) for n in ("index", "offset", "line", "n_atoms")]
     return pa.record_batch(
         [pa.array([source] * len(frames), pa.string()), *ints, _tagged(columns, ("name", "width"), width), _tagged(entries, ("key", "shape"), shape), error],
@@ -124,6 +131,41 @@ def frames_batch(frames: list[RawFrame], source: str, errors: list[tuple | None]
     )
 
 
+def _errors(errors: list[tuple | None]) -> pa.Array:
+    return pa.array([None if e is None else dict(zip(("line", "column", "message", "is_io"), e, strict=True)) for e in errors], _ERROR)
+
+
+class Fold:
+    """The signatures of frames as they pass: those of columns count at each occurrence, of a repeated key only the last."""
+
+    def __init__(self):
+        self.seen: dict[tuple, list[int]] = {}
+        self.sizes: Counter[int] = Counter()
+
+    def add(self, f: RawFrame) -> None:
+        self.sizes[f.n_atoms] += 1
+        last = {m[0]: i for i, m in enumerate(f.metadata)}
+        sign = tuple(c[:3] for c in f.columns), tuple(m[:3] for i, m in enumerate(f.metadata) if last[m[0]] == i)
+        self.seen.setdefault(sign, [0, f.index])[0] += 1
+
+    def batch(self, source: str, fault: tuple | None, at: int) -> pa.RecordBatch:
+        found: dict[tuple, list] = {}
+        for (columns, entries), (frames, first) in self.seen.items():
+            each = [("column", n, k, (w,), i) for i, (n, k, w) in enumerate(columns)] + [("metadata", n, k, tuple(shape), i) for i, (n, k, shape) in enumerate(entries)]
+            for *key, pos in each:
+                have = found.setdefault(tuple(key), [0, (first, pos)])
+                have[0] += frames
+                have[1] = min(have[1], (first, pos))
+        out = [(*key, None, n, *first, None) for key, (n, first) in found.items()]
+        out += [("atoms", None, None, None, size, n, None, None, None) for size, n in self.sizes.items()]
+        if fault:
+            out.append(("error", None, None, None, None, 0, at, 0, fault))
+        axis, name, kind, extent, size, frames, first, pos, errors = zip(*out, strict=True) if out else [()] * 9
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        made = [pa.array(c, t) for c, t in zip((axis, name, kind, extent, size, frames, first, pos), kinds, strict=True)]
+        return pa.record_batch([pa.array([source] * len(out), pa.string()), *made, _errors(list(errors))], ["source", "axis", "name", "kind", "extent", "n_atoms", "frames", "first_frame", "first_pos", "error"])
+
+
 def _atoms_batch(frames: list[RawFrame], source: str, first: int = 0) -> pa.RecordBatch:
     """One row for each atom, column and component; ``first`` is the number of the first atom."""
     cols: dict[str, list] = {n: [] for n in ("frame", "atom", "name", "kind", "component")}
@@ -223,6 +265,7 @@ class FramesReader(DataSourceReader):
             yield self._part_of_frame(part, source)
             return
         scan = self.mode == "scan"
+        fold = Fold() if self.mode == "schema" else None
         held: list = []
         atoms = 0
         fault: tuple | None = None
@@ -234,10 +277,13 @@ class FramesReader(DataSourceReader):
                 want = self.wanted if not part.skip else lambda i: i >= part.index + part.skip and self.wanted(i)
                 for s in walk(f, want, self.wanted.high, notes=self.volume or not scan, blocks=not scan, index=part.index, offset=part.offset, line=part.line, limit=part.limit):
                     at = (s.index, s.offset, s.line)
-                    held.append(s if scan else self._parsed(s))
+                    if fold:
+                        fold.add(self._parsed(s))
+                    else:
+                        held.append(s if scan else self._parsed(s))
                     at = (s.index + 1, s.offset, s.line + s.n_atoms + 2)
                     atoms += s.n_atoms
-                    if len(held) >= BATCH_FRAMES or (atoms >= BATCH_ATOMS and not scan):
+                    if len(held) >= BATCH_FRAMES or (held and atoms >= BATCH_ATOMS and not scan):
                         yield self._batch(held, source)
                         held, atoms = [], 0
         except ParseError as e:
@@ -248,6 +294,8 @@ class FramesReader(DataSourceReader):
             if not self.permissive:
                 raise
             fault = (at[2], None, str(e), True)
+        if fold:
+            yield fold.batch(source, fault, at[0])
         if held:
             yield self._batch(held, source)
         if fault and self.mode == "frames":
@@ -314,7 +362,7 @@ class XyzFrames(DataSource):
         return "xyzframes"
 
     def schema(self) -> str:
-        return {"frames": FRAMES, "scan": INDEX, "atoms": ATOMS}[self.options.get("mode", "frames")]
+        return {"frames": FRAMES, "scan": INDEX, "atoms": ATOMS, "schema": SCHEMA}[self.options.get("mode", "frames")]
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
         options = {k.lower(): v for k, v in self.options.items()}

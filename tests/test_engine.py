@@ -183,6 +183,64 @@ def test_infer(files):
     assert SchemaSpec.from_yaml(spec.to_yaml(notes)) == spec == SchemaSpec.from_json(spec.to_json())
 
 
+def test_infer_in_one_pass_is_the_fold_of_frames(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for name in ("a", "b"):
+        parts = []
+        for i in range(2_500 if name == "a" else 40):
+            n = int(rng.integers(60, 140)) if name == "a" else i % 3
+            note = f"Properties=species:S:1:x:{'R' if i % 7 else 'I'}:1 k={i if i % 5 else 'text'}" + (" k=0.5 z=T" if i % 11 == 0 else "")
+            parts.append(f"{n}\n{note}\n" + "C 1\n" * n)
+        (tmp_path / f"{name}.xyz").write_text("".join(parts))
+    for path in (tmp_path / "a.xyz", tmp_path / "b.xyz"):
+        one, two = api.infer_schema(path), infer.infer(api.frames(path))
+        assert one.report() == two.report() and one.median_atoms == two.median_atoms
+        assert one.mean_atoms == pytest.approx(two.mean_atoms) and one.std_atoms == pytest.approx(two.std_atoms)
+    assert api.infer_schema(tmp_path / "*.xyz").n_frames == 2_540
+
+
+def test_files_in_one_order(files, tmp_path):
+    """Frames of several files are numbered through, in the order of the files."""
+    for name, text in (("a", VARYING), ("b", VARYING.replace("-31.8", "-1.5")), ("c", VARYING)):
+        (tmp_path / f"{name}.xyz").write_text(text)
+    path = str(tmp_path / "*.xyz")
+    sizes = [3, 1, 2] * 3
+    assert [f.n_atoms for f in api.read(path, ":")] == sizes and [f.n_atoms for f in api.iread(path)] == sizes
+    assert api.read(path, 5).metadata["energy"] == -1.5 and api.read(path, -1).metadata["energy"] == -31.8
+    assert [f.n_atoms for f in api.read(path, [7, 3, 7])] == [1, 3, 1] and [f.n_atoms for f in api.read(path, "::4")] == [3, 1, 2]
+    b = api.read_batch(path, [5, 0])
+    assert b.metadata["energy"].tolist() == [-1.5, -76.3] and b.frame_indices.tolist() == [5, 0]
+    got = list(api.iread_batch(path, frames_per_batch=4))
+    assert [x.frame_indices.tolist() for x in got] == [[0, 1, 2, 3], [4, 5, 6, 7], [8]]
+    assert np.concatenate([np.diff(x.offsets) for x in got]).tolist() == sizes
+    assert sum(len(x.frame_indices) for x in api.iread_batch(path, atoms_per_batch=4)) == 9
+
+
+def test_lines_across_chunks(monkeypatch):
+    import io
+
+    from latticelake.sources import index as walking
+
+    rng = np.random.default_rng(1)
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(walking, "_CHUNK", size)
+        for _ in range(30):
+            data = b"".join(bytes(rng.integers(97, 100, rng.integers(0, 9)).astype(np.uint8)) + b"\n" for _ in range(12))[: rng.integers(0, 60)]
+            lines, rest = walking.Lines(io.BytesIO(data)), data
+            while rest:
+                n = int(rng.integers(0, 4))
+                if n:
+                    want = b"".join(rest.splitlines(keepends=True)[:n])
+                    keep = bool(rng.integers(2))
+                    assert lines.many(n, keep) == (want if keep else None)
+                else:
+                    want = rest.splitlines(keepends=True)[0]
+                    assert lines.line() == want.removesuffix(b"\n")
+                rest = rest[len(want) :]
+                assert lines.at == len(data) - len(rest)
+            assert lines.line() is None
+
+
 SPEC = SchemaSpec((ColumnRule("species", Kind.STR), ColumnRule("pos", Kind.REAL, 3), ColumnRule("charge", Kind.REAL)), ())
 
 
