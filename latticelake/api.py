@@ -173,7 +173,7 @@ def _check_threads(threads: int | None) -> None:
 
 def _policy(table: DataFrame, spec: SchemaSpec, level: Conformance, mode: Mode | None) -> DataFrame:
     """The frames that stay under a schema, reshaped in project mode (still in the canonical schema)."""
-    project.compiled(spec, mode)
+    project.check_projects(spec, mode)
     if (mode or spec.mode) == "validate":
         return match.enforce(table, spec, level)
     typed = project.project(table, spec)

@@ -3,43 +3,45 @@
 from __future__ import annotations
 
 import math
-import warnings
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticelake.errors import SchemaError, SchemaWarning
-from latticelake.operators.match import _entry_signature, _frame_violations, _violation, message
+from latticelake.errors import SchemaError
+from latticelake.operators.match import _entry_signature, _frame_violations, _violation, answer
 from latticelake.plans.spec import ColumnRule, Conformance, MetadataRule, Mode, SchemaSpec, is_pattern, rule_name, signature
 from latticelake.types import SLOT, SPARK, Kind
 
 
-def _fill_ok(fill: object, kind: Kind) -> bool:
-    if kind is Kind.BOOL:
-        return isinstance(fill, bool)
-    if isinstance(fill, bool):
-        return False
-    return isinstance(fill, {Kind.INT: int, Kind.REAL: (int, float), Kind.STR: str}[kind])
+#: Python types that a fill of a kind may have; a bool is no number here.
+_FILLS = {Kind.BOOL: (bool,), Kind.INT: (int,), Kind.REAL: (int, float), Kind.STR: (str,)}
 
 
-def compiled(spec: SchemaSpec, mode: Mode | None = None) -> list[tuple[ColumnRule | MetadataRule, object]] | None:
-    """Rules with their fills, None in validate mode; what cannot be projected raises before any read."""
-    if (mode or spec.mode) == "validate":
-        return None
-    out = []
+def fill_of(rule: ColumnRule | MetadataRule) -> object:
+    """What stands in for a field that a frame lacks: the declared fill, NaN for reals, else None."""
+    return math.nan if rule.fill is None and rule.kind is Kind.REAL else rule.fill
+
+
+def obstacles(spec: SchemaSpec) -> Iterator[tuple[str, str]]:
+    """(name, reason) of each rule that does not say which single field of which extent to make, or what to fill it with."""
     for rule in (*spec.columns, *spec.metadata):
-        name, axis = rule_name(rule), "column" if isinstance(rule, ColumnRule) else "metadata"
+        name = rule_name(rule)
         if is_pattern(name):
-            raise SchemaError(f"schema rule {name!r} is a pattern; project mode needs a fixed shape. Freeze the spec against a sample first", name=name)
-        if isinstance(rule, MetadataRule) and len(rule.shape) > 1:
-            raise SchemaError(f"metadata {name!r}: a two-dimensional shape cannot be projected", name=name)
-        if rule.fill is not None and not _fill_ok(rule.fill, rule.kind):
-            raise SchemaError(f"{axis} {name!r}: fill {rule.fill!r} is not a valid {rule.kind.value} value", name=name)
-        fill = rule.fill if rule.fill is not None else math.nan if rule.kind is Kind.REAL else None
-        if fill is None and not rule.required:
-            raise SchemaError(f"{axis} {name!r} is an optional {rule.kind.value} field with no natural null; give it a 'fill' value so projection can materialise it", name=name)
-        out.append((rule, fill))
-    return out
+            yield name, "a pattern has no fixed shape; freeze the schema against a sample of frames"
+        elif len(getattr(rule, "shape", ())) > 1:
+            yield name, "a two-dimensional entry is not projected"
+        elif rule.fill is not None and (type(rule.fill) is bool) != (rule.kind is Kind.BOOL) or not isinstance(rule.fill, (*_FILLS[rule.kind], type(None))):
+            yield name, f"its fill {rule.fill!r} is not a valid value of kind {rule.kind.value}"
+        elif not rule.required and fill_of(rule) is None:
+            yield name, f"it may be absent and kind {rule.kind.value} has no natural null; declare a fill"
+
+
+def check_projects(spec: SchemaSpec, mode: Mode | None = None) -> None:
+    """Raise before any read where a spec in project mode cannot be projected to."""
+    if (mode or spec.mode) == "project":
+        for name, reason in obstacles(spec):
+            raise SchemaError(f"field {name!r} cannot be projected: {reason}", name=name)
 
 
 def _parts(rule: ColumnRule | MetadataRule, fill: object) -> tuple[Column, Column, Column]:
@@ -70,10 +72,10 @@ def project(frames: DataFrame, spec: SchemaSpec) -> DataFrame:
     kind counts as a deviation and gives way to the fill. A frame is dropped where a field
     can be neither found nor filled.
     """
-    plan = compiled(spec, "project")
+    check_projects(spec, "project")
     columns, reports, drops = [], [], []
-    for rule, fill in plan:
-        flat, report, drop = _parts(rule, fill)
+    for rule in (*spec.columns, *spec.metadata):
+        flat, report, drop = _parts(rule, fill_of(rule))
         name = rule_name(rule)
         if isinstance(rule, ColumnRule):
             if rule.width > 1:
@@ -96,11 +98,7 @@ def project(frames: DataFrame, spec: SchemaSpec) -> DataFrame:
 
 
 def enforce_projection(projected: DataFrame, level: Conformance = "required") -> DataFrame:
-    """Raise on the first deviation (``strict`` and ``required`` alike), or warn of each; the frames that stay."""
-    found = projected.select("source", "frame_index", "line", F.posexplode("deviations").alias("ordinal", "v")).select("source", "frame_index", "line", "ordinal", "v.*").orderBy("source", "frame_index", "ordinal")
-    if level == "warn":
-        for r in found.toLocalIterator():
-            warnings.warn(message(r), SchemaWarning, stacklevel=3)
-    elif first := found.limit(1).collect():
-        raise SchemaError(message(first[0]), first[0]["frame_index"], first[0]["name"])
+    """The frames that stay, once deviations have been answered (``strict`` and ``required`` alike)."""
+    each = projected.select("source", "frame_index", F.posexplode("deviations").alias("ordinal", "v"))
+    answer(each.select("source", "frame_index", "ordinal", "v.*"), level)
     return projected.where(~F.col("dropped")).drop("deviations", "dropped")

@@ -52,13 +52,13 @@ def pick_member(names: list[str], member: str | None) -> str:
     """The member asked for, or the sole one with an extxyz extension."""
     if member is not None:
         if member not in names:
-            raise ValueError(f'member "{member}" not found in archive; available members: {names}')
+            raise ValueError(f"no member {member!r} in the archive, which holds {names}")
         return member
     own = [n for n in names if n.lower().endswith((".xyz", ".extxyz"))]
     if len(own) > 1:
-        raise ValueError(f"archive has multiple extxyz members; pass member= to choose one: {own}")
+        raise ValueError(f"which member of the archive? It holds several: {own}; name one by member=")
     if not own:
-        raise ValueError(f"archive contains no extxyz member; members: {names}")
+        raise ValueError(f"nothing in the archive ends in .xyz or .extxyz: {names}")
     return own[0]
 
 

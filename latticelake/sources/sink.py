@@ -61,7 +61,7 @@ def frame_text(n_atoms: int, columns: list[tuple[str, str, int, Any]], metadata:
     names = [c[0] for c in columns]
     for need in ("species", "pos"):
         if need not in names:
-            raise LatticeError(f'frame is missing required column "{need}"; extxyz needs both \'species\' and \'pos\'')
+            raise LatticeError(f"a frame without the column {need!r} cannot be written: species and pos come first in every row")
     order = sorted(range(len(columns)), key=lambda i: (0 if names[i] == "species" else 1 if names[i] == "pos" else 2, i))
     columns = [columns[i] for i in order]
     first = [e for k in ("Lattice", "pbc") for e in metadata if e[0] == k]
@@ -111,11 +111,11 @@ def write_codec(path: str, compression: str = "infer", append: bool = False, lev
         raise ValueError(f"unknown compression {compression!r}; use one of {', '.join(CODECS)}")
     codec = compression if compression != "infer" else next((c for s, c in _SUFFIXES if path.lower().endswith(s)), "none")
     if codec == "zstd":
-        raise ValueError("writing zstd (.zst) output is not yet supported")
+        raise ValueError("zstd is read only; write gzip or plain text")
     if append and codec not in ("none", "gzip"):
-        raise ValueError(f"append mode is not supported for {codec} output")
+        raise ValueError(f"a {codec} output cannot be appended to")
     if level is not None and not 0 <= level <= 9:
-        raise ValueError(f"compression level {level} is out of range; expected 0..=9")
+        raise ValueError(f"compression level {level}: use 0 to 9")
     return codec
 
 

@@ -149,11 +149,11 @@ def test_codecs(files, tmp_path, spark):
         z.writestr("a.xyz", MIXED)
         z.writestr("b.xyz", raw)
     assert len(api.read(tmp_path / "two.zip", member="a.xyz")) == 2 and api.frames(tmp_path / "two.zip", member="*").count() == 5
-    with pytest.raises(ValueError, match="multiple extxyz members"):
+    with pytest.raises(ValueError, match="which member"):
         codecs.pick_member(["a.xyz", "b.xyz"], None)
-    with pytest.raises(ValueError, match="no extxyz member"):
+    with pytest.raises(ValueError, match="nothing in the archive"):
         codecs.pick_member(["a.txt"], None)
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no member"):
         codecs.pick_member(["a.xyz"], "c")
     with pytest.raises(Exception, match="non-archive"):
         api.read(files / "varying.xyz", member="a")
@@ -245,7 +245,7 @@ SPEC = SchemaSpec((ColumnRule("species", Kind.STR), ColumnRule("pos", Kind.REAL,
 
 
 def test_validation(files):
-    with pytest.raises(SchemaError, match="frame 1: column 'charge': missing") as e:
+    with pytest.raises(SchemaError, match="frame 1, column 'charge': required as R:1, but missing") as e:
         api.read(files / "mixed.xyz", schema=SPEC)
     assert (e.value.frame_index, e.value.name) == (1, "charge")
     with pytest.warns(SchemaWarning, match="charge"):
@@ -254,7 +254,7 @@ def test_validation(files):
     assert len(api.read(files / "mixed.xyz", schema=part)) == 2
     with pytest.raises(SchemaError, match="unexpected"):
         api.read(files / "mixed.xyz", schema=part, conformance="strict")
-    with pytest.raises(SchemaError, match=r"'n_atoms': expected in \[2, \], found 1"):
+    with pytest.raises(SchemaError, match=r"'n_atoms': holds 1 where the schema has \[2, \]"):
         api.read(files / "varying.xyz", schema=SchemaSpec(frame=FrameRule(n_atoms_min=2)))
     with pytest.raises(ValueError, match="mode needs a schema"):
         api.read(files / "mixed.xyz", mode="project")
@@ -265,7 +265,7 @@ def test_projection(files):
     a, b = api.read(files / "mixed.xyz", schema=fixed)
     assert list(a.columns) == ["charge", "species"] and a.columns["charge"].tolist() == [0.5, -0.5] and np.isnan(b.columns["charge"]).all() and b.metadata == {"n": 7}
     need = SchemaSpec((ColumnRule("pos", Kind.REAL, 3),), (MetadataRule("energy", Kind.INT),), None, "project")
-    with pytest.raises(SchemaError, match="mismatch|expected I, found R"):
+    with pytest.raises(SchemaError, match="holds R where the schema has I"):
         api.read(files / "drift.xyz", schema=need)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -281,7 +281,7 @@ def test_freeze(files):
     s = api.infer_schema(files / "mixed.xyz")
     frozen = SchemaSpec((ColumnRule("ch*", Kind.REAL),)).freeze(s)
     assert frozen.mode == "project" and frozen.columns == (ColumnRule("charge", Kind.REAL, 1, False),)
-    with pytest.raises(SchemaError, match="conflicting"):
+    with pytest.raises(SchemaError, match="varies between frames"):
         SchemaSpec((), (MetadataRule("str*", Kind.REAL),)).freeze(api.infer_schema(files / "drift.xyz"))
 
 
@@ -345,9 +345,9 @@ def test_write(files, tmp_path, spark):
     assert [plain(f) for f in api.read(tmp_path / "w.xyz.gz")] == want
     with pytest.raises(ValueError, match="zstd"):
         api.write(tmp_path / "o.xyz.zst", table)
-    with pytest.raises(ValueError, match="append mode"):
+    with pytest.raises(ValueError, match="appended"):
         api.write(tmp_path / "o.zip", table, append=True)
-    with pytest.raises(ValueError, match="out of range"):
+    with pytest.raises(ValueError, match="use 0 to 9"):
         api.write(tmp_path / "o.xyz.gz", table, level=10)
     with pytest.raises(ValueError, match="species"):
         api.write(tmp_path / "z.xyz", Frame(1, {"pos": np.zeros((1, 3))}, {}))
@@ -376,7 +376,7 @@ def test_cli(files, tmp_path, capsys):
     assert cli.main(["scan", "--no-schema", "--json", str(files / "varying.xyz")]) == 0 and json.loads(capsys.readouterr().out)["total_atoms"] == 6
     spec = str(tmp_path / "s.yaml")
     assert cli.main(["scan", str(files / "varying.xyz"), "--emit-schema", spec]) == 0
-    assert cli.main(["check", str(files / "varying.xyz"), "--schema", spec]) == 0 and "conformant (3 frames" in capsys.readouterr().out
+    assert cli.main(["check", str(files / "varying.xyz"), "--schema", spec]) == 0 and "3 frames checked (required), no kinds" in capsys.readouterr().out
     assert cli.main(["check", str(files / "mixed.xyz"), "--schema", spec, "--json"]) == 1
     got = json.loads(capsys.readouterr().out)
     assert got["n_frames"] == 2 and {v["name"] for v in got["violations"]} == {"forces", "Lattice", "energy"}
