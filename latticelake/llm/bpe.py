@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from latticelake.llm.common import PieceStreams, blocks, column, documents, held, map_arrow, table, texts_of
 
 #: Entries of the tables of encoded pieces and pre-tokens in one Python worker.
-CACHE = 2_000_000
+CACHE = 1_200_000
 
 
 class MergeReplay:

@@ -19,7 +19,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text that one block of documents holds; one longer document is a block alone.
 BLOCK_CHARS = 4_000_000
 #: Rows and bytes of an Arrow batch, so that a batch of very long documents stays small.
-BATCH_ROWS, BATCH_BYTES = 1_500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 _ODD = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f" (?=[^{WHITE}])")

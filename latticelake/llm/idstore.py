@@ -54,7 +54,7 @@ from latticelake.session import remove, scratch_path, tidied
 END = 0
 #: Chunk sizes in ids: least, one in MEAN positions ends a chunk, most.
 LEAST, MEAN, MOST = 64, 256, 2048
-CACHE = 2_000_000
+CACHE = 1_200_000
 #: Pieces that are encoded in one call of the library.
 TOGETHER = 2_000
 #: The compression dictionary: documents whose chunks it may learn from, chunks it learns from, its bytes.
